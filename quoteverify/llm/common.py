@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """A query that starts in here drops its shuffle files as it ends, since its result is a table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
