@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, packing, simhash, substring, token_counts, tokenfile, topk
+from . import lm, packing, simhash, substring, token_counts, tokenfile, topk, toxicity
 from .common import documents, table
 
 QUERIES = {}
@@ -65,3 +65,8 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(documents(spark, sf_dir))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
