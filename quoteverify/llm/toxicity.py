@@ -73,7 +73,7 @@ class TextFeatures:
         return np.repeat(row, times), at, of_piece
 
 
-def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, size: int, steps: int = 400, ridge: float = 1e-3):
+def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, size: int, steps: int = 1200, ridge: float = 1e-5):
     """Weights and thresholds by gradient descent (Adam) on the mean log-loss of the observed grades. rows, features:
     places of the ones in the sparse matrix."""
     n = len(grades)
