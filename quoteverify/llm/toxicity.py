@@ -2,7 +2,7 @@
 
 Severity has ordered grades 0 to 3. P(grade > k) = 1 / (1 + exp(t_k - w.x)): one weight vector w for all thresholds
 t_0 < t_1 < t_2, so what raises the odds of a grade raises those of all higher ones. The expected severity is the sum of
-the three probabilities, and a document is toxic if P(grade > 0) is at least a half.
+the three probabilities. A document is toxic from the severity on that makes the fewest errors on the training texts.
 
 Features x are sparse: the words of a text and their first 4, 5 and 6 letters, present or not. Those kept are the ones
 whose odds of standing in a toxic labelled text rather than a clean one are high.
@@ -95,7 +95,7 @@ def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, size: int, s
         gradient = np.concatenate([np.bincount(features, weights=by_value[rows], minlength=size) + ridge * weights / max(1, size) ** 0.5, [by_cut.sum()], by_gap])
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.999 * state[1] + 0.001 * gradient**2
-        move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-9)
+        move = (0.2 * (1 - step / steps) + 0.002) * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-9)
         weights, first, gaps = weights - move[:size], first - move[size], np.clip(gaps - move[size + 1 :], -5, 5)
     return weights, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
@@ -105,6 +105,19 @@ def severity(value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(cuts[None, :] - value[:, None], -700, 700)))
 
 
+def best_cut(values: np.ndarray, toxic: np.ndarray) -> float:
+    """The severity from which a text is toxic, with the fewest errors on the training texts; of equal ones the middle
+    of the widest gap."""
+    order = np.argsort(values)
+    values, toxic = values[order], toxic[order]
+    errors = np.cumsum(np.concatenate([[0], toxic])) + np.cumsum(np.concatenate([[0], 1 - toxic[::-1]]))[::-1]
+    edges = np.concatenate([[0.0], values, [float(GRADES)]])
+    gaps = np.where(np.diff(edges) > 0, np.diff(edges), -1.0)
+    at = np.lexsort((-gaps, errors))
+    at = at[gaps[at] > 0][0]
+    return float((edges[at] + edges[at + 1]) / 2)
+
+
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """doc_id, text, toxic of about ``sample`` labelled documents with different texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -114,8 +127,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return joined.groupBy(F.xxhash64("text").alias("same")).agg(F.min_by(F.struct("text", "toxic"), "doc_id").alias("r")).select("r.text", F.when(F.col("r.toxic") > 0, 1).otherwise(0).alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict[str, float], list[float]]:
-    """The weights by feature, and the thresholds; no weights where the labels do not hold both kinds."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict[str, float], list[float], float]:
+    """The weights by feature, the thresholds and the severity from which a text is toxic; no weights where the labels do
+    not hold both kinds."""
     rows = sampled(docs, labels, sample)
 
     def count(batches):
@@ -134,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     totals = rows.agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).head()
     if not totals["a"] or not totals["b"]:
-        return {}, [0.0] * GRADES
+        return {}, [0.0] * GRADES, float(GRADES)
     odds = (F.col("a") + 0.5) / (F.col("b") + 0.5) * F.lit((totals["b"] + 1) / (totals["a"] + 1))
     kept = rows.mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("odds", odds).where((F.col("a") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS))
     names, marks = [], set()
@@ -143,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             marks.add(len(names))
         names.append(r["feature"])
     if not names:
-        return {}, [0.0] * GRADES
+        return {}, [0.0] * GRADES, float(GRADES)
     chosen = {name: i for i, name in enumerate(names)}
     marked = np.zeros(len(names), bool)
     marked[list(marks)] = True
@@ -165,23 +179,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     lists = [np.array(x, np.int64) for x in table["features"].to_pylist()]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     weights, cuts = fit(row, np.concatenate(lists) if lists else np.zeros(0, np.int64), grades, len(names))
-    return {n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-6}, cuts.tolist()
+    above = severity(np.bincount(row, weights=weights[np.concatenate(lists)], minlength=len(lists)), cuts)
+    return {n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-6}, cuts.tolist(), best_cut(above.sum(axis=1), toxic.astype(np.int64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic, toxic of every document."""
-    weights, cuts = train(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, cuts))  # at most FEATURES weights
+    weights, cuts, least = train(docs, labels, sample)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, cuts, least))  # at most FEATURES weights
     fitted = bool(weights)
 
     def run(batches):
-        weights, cuts = shared.value
+        weights, cuts, least = shared.value
         chosen, values = {n: i for i, n in enumerate(weights)}, np.array(list(weights.values()) + [0.0])
         for batch in slices(batches):
             n = batch.num_rows
             row, at, of = TextFeatures(batch.column("text")).pairs(chosen)
             once = np.unique(row * len(values) + np.array(of, np.int64)[at]) if len(at) else np.zeros(0, np.int64)
             above = severity(np.bincount(once // len(values), weights=values[once % len(values)], minlength=n), np.array(cuts)) if fitted else np.zeros((n, GRADES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], ["doc_id", "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above.sum(axis=1) >= least)], ["doc_id", "severity", "p_toxic", "toxic"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic boolean")
