@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, packing, simhash, substring, token_counts, tokenfile, topk, toxicity
+from . import decontaminate, lm, packing, simhash, substring, token_counts, tokenfile, topk, toxicity
 from .common import documents, table
 
 QUERIES = {}
@@ -70,3 +70,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(spark, sf_dir)
