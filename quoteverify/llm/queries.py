@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, packing, simhash, substring, token_counts, tokenfile, topk, toxicity
+from . import decontaminate, html, lm, packing, simhash, substring, token_counts, tokenfile, topk, toxicity
 from .common import documents, table
 
 QUERIES = {}
@@ -75,3 +75,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_leaks(spark, sf_dir)
+
+
+@query
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
