@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoteverify.session import ship
+
 #: Text bytes that a Python worker handles at once; a longer single text is still taken whole.
 SLICE_BYTES = 8 << 20
 
@@ -61,6 +63,7 @@ def shuffles_dropped(spark: SparkSession):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,7 +73,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text string): only what the operators need, so other columns never clash. A null text is
-    empty; rows without a key can't be reported and take no part."""
+    empty; rows without a key can't be reported and take no part. Arrow batches of the session are bounded by bytes, as
+    texts can be long."""
+    ship(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
 

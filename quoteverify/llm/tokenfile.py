@@ -28,7 +28,7 @@ from .tokens import crc32, encoder, tokenizer_path, with_end
 
 MAGIC = b"TKF1"
 #: Ids in a shard, about; a longer document is still kept whole.
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 
 #: For each control byte the sizes of its four numbers, and their sum.
 SIZES = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.int64)
