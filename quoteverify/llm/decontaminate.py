@@ -32,7 +32,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts_of, written
+from .common import texts_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 23, 8
@@ -107,5 +107,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"), F.count_distinct("start").alias("windows"), F.min("start").cast("long").alias("first_word"))
 
 
-def benchmark_leaks(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents") if docs is None else docs, table(spark, sf_dir, "benchmark"))
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no item contaminates."""
+    leaked = written(decontaminate(docs, items).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
+    return docs.join(leaked, docs["doc_id"] == leaked["__leaked"], "left_anti")

@@ -74,7 +74,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.benchmark_leaks(spark, sf_dir)
+    return decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 @query

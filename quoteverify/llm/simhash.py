@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ranges, slices, texts_of, written
@@ -215,3 +215,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted = written(rooted, "rooted")
     classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component; one row for a doc_id
+    that comes repeatedly. Rows without a doc_id stay."""
+    classes = written(near_duplicates(docs, radius).select("doc_id", "component_id"), "classes")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    if classes.count() == classes.select("doc_id").distinct().count():
+        return kept
+    first = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return first.where("__row = 1 OR doc_id IS NULL").drop("__row")

@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoteverify.session import ship
+
 from .common import slices, texts_of
 from .token_counts import word_lists
 
@@ -183,20 +185,44 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     return {n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-6}, cuts.tolist(), best_cut(above.sum(axis=1), toxic.astype(np.int64))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose text is not toxic, with all their columns; a null text stays."""
+    ship(docs.sparkSession)
+    model = train(docs, labels, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+
+    def run(batches):
+        for batch in batches:
+            text = pc.fill_null(batch.column("text"), "")
+            yield batch.filter(pa.array(expected(text, *shared.value) < shared.value[2])) if model_fitted else batch
+
+    model_fitted = bool(model[0])
+    return docs.mapInArrow(run, docs.schema)
+
+
+def expected(texts: pa.Array, weights: dict[str, float], cuts: list[float], _least: float) -> np.ndarray:
+    """Expected severity of each text."""
+    return grades_above(texts, weights, cuts).sum(axis=1)
+
+
+def grades_above(texts: pa.Array, weights: dict[str, float], cuts: list[float]) -> np.ndarray:
+    """P(grade > k) of each text, a column for each k."""
+    if not weights:
+        return np.zeros((len(texts), GRADES))
+    chosen, values = {n: i for i, n in enumerate(weights)}, np.array(list(weights.values()))
+    row, at, of = TextFeatures(texts).pairs(chosen)
+    once = np.unique(row * len(values) + np.array(of, np.int64)[at]) if len(at) else np.zeros(0, np.int64)
+    return severity(np.bincount(once // len(values), weights=values[once % len(values)], minlength=len(texts)), np.array(cuts))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic, toxic of every document."""
-    weights, cuts, least = train(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, cuts, least))  # at most FEATURES weights
-    fitted = bool(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))  # at most FEATURES weights
 
     def run(batches):
         weights, cuts, least = shared.value
-        chosen, values = {n: i for i, n in enumerate(weights)}, np.array(list(weights.values()) + [0.0])
         for batch in slices(batches):
-            n = batch.num_rows
-            row, at, of = TextFeatures(batch.column("text")).pairs(chosen)
-            once = np.unique(row * len(values) + np.array(of, np.int64)[at]) if len(at) else np.zeros(0, np.int64)
-            above = severity(np.bincount(once // len(values), weights=values[once % len(values)], minlength=n), np.array(cuts)) if fitted else np.zeros((n, GRADES))
+            above = grades_above(batch.column("text"), weights, cuts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above.sum(axis=1) >= least)], ["doc_id", "severity", "p_toxic", "toxic"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic boolean")
