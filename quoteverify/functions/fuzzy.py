@@ -43,32 +43,39 @@ def ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with any window of the longer one of at most its length; windows at both
-    ends may be shorter. Windows whose letters cannot beat the best so far are passed over."""
+    ends may be shorter.
+
+    Moving a window by one place changes its common subsequence by one at most, so places that cannot beat the best so far
+    are jumped over; a first coarse pass makes that best high. All windows count, none is left to chance."""
     if len(a) > len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    if not n:
-        return 100.0 if not m else 0.0
+    if not a:
+        return 0.0 if b else 100.0
     if a in b:
         return 100.0
-    best = 0.0
-    wanted = set(a)
-    for end in range(1, m + n):
-        start, stop = max(0, end - n), min(end, m)
-        # a best window can be chosen to end (or, past the end, to begin) in a letter that the shorter string has
-        if b[stop - 1] not in wanted if stop < m or end <= m else b[start] not in wanted:
-            continue
-        window = b[start:stop]
-        if 200.0 * min(n, len(window)) / (n + len(window)) <= best:
-            continue
-        best = max(best, ratio(a, window))
-        if best == 100.0:
-            break
-    if n == m:  # neither is shorter: windows of the other one count too
-        for end in range(1, n):
-            for window in (a[:end], a[n - end :]):
-                if 200.0 * end / (m + end) > best:
-                    best = max(best, ratio(b, window))
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) else best
+
+
+def _best_window(a: str, b: str) -> float:
+    n, last = len(a), len(b) - len(a)
+    seen: dict[int, int] = {}
+
+    def at(start: int) -> int:
+        if start not in seen:
+            seen[start] = common_length(a, b[start : start + n])
+        return seen[start]
+
+    longest = max(at(s) for s in (*range(0, last + 1, max(1, n // 4)), last))
+    start = 0
+    while start <= last:
+        longest = max(longest, at(start))
+        start += max(1, longest - at(start) + 1)
+    best = 100.0 * longest / n
+    for whole, cut in ((at(0), lambda k: b[:k]), (at(last), lambda k: b[len(b) - k :])):
+        for k in range(n - 1, 0, -1):
+            if 200.0 * min(k, whole) / (n + k) > best:
+                best = max(best, ratio(a, cut(k)))
     return best
 
 

@@ -87,6 +87,10 @@ class Postings:
         rows = docs.withColumnRenamed(key, "doc").withColumn("norm", normalize(F.coalesce(F.col(text), F.lit("")), profile)).withColumn("words", words(F.col("norm")))
         return Postings.of(rows, rows.select("doc", F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf")), rows.select("doc", F.size("words").alias("len")))
 
+    def kept(self) -> Postings:
+        """The same with its tables persisted, for plans that read them more than once."""
+        return Postings.of(self.docs, self.terms.persist(), self.lengths.persist())
+
     @staticmethod
     def of(docs: DataFrame, terms: DataFrame, lengths: DataFrame) -> Postings:
         sizes = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))

@@ -141,13 +141,22 @@ def reference(name, verse_from, verse_to):
 
 
 def near_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, v, score): vocabulary words equal to a word (1.0) or within its edits (0.8). Lengths are joined as equal keys,
-    so no word meets the whole vocabulary."""
-    k = edits_allowed(F.col("word"))
-    sized = asked.select("word").distinct().withColumn("k", k).withColumn("len", F.explode(F.sequence(F.length("word") - F.col("k"), F.length("word") + F.col("k"))))
-    known = vocabulary.select(F.col("word").alias("v"), F.length("word").alias("len"))
-    met = sized.join(known, "len").where((F.col("v") == F.col("word")) | ((F.col("k") > 0) & (F.levenshtein("v", "word") <= F.col("k"))))
-    return met.select("word", "v", F.when(F.col("v") == F.col("word"), C.FRAGMENT_EXACT).otherwise(C.FRAGMENT_NEAR).alias("score"))
+    """(word, v, score): vocabulary words equal to a word (1.0) or within its edits (0.8).
+
+    A vocabulary word cut into k + 1 even parts keeps one of them whole under k edits, at most k places away. Parts are
+    joined as equal keys with the length, so no word meets the whole vocabulary or all words of a length."""
+    known = vocabulary.select(F.col("word").alias("v")).distinct()
+    wanted = asked.select("word").distinct()
+    equal = wanted.join(known, F.col("word") == F.col("v")).select("word", "v", F.lit(C.FRAGMENT_EXACT).alias("score"))
+    cut = lambda size, k, i: F.floor(size * i / (k + 1)).cast("int")
+    parts = known.select("v", F.length("v").alias("len"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).where("len > k").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    parts = parts.select("v", "len", "k", "i", F.substring(F.col("v"), cut(F.col("len"), F.col("k"), F.col("i")) + 1, cut(F.col("len"), F.col("k"), F.col("i") + 1) - cut(F.col("len"), F.col("k"), F.col("i"))).alias("part"))
+    sized = wanted.withColumn("k", edits_allowed(F.col("word"))).where("k > 0").select("word", "k", F.explode(F.sequence(F.length("word") - F.col("k"), F.length("word") + F.col("k"))).alias("len")).where("len > k").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    start, size = cut(F.col("len"), F.col("k"), F.col("i")), cut(F.col("len"), F.col("k"), F.col("i") + 1) - cut(F.col("len"), F.col("k"), F.col("i"))
+    probes = sized.select("word", "k", "len", "i", size.alias("size"), F.explode(F.sequence(start - F.col("k"), start + F.col("k"))).alias("at")).where("at >= 0 AND at + size <= length(word)")
+    met = probes.select("word", "k", "len", "i", F.substring(F.col("word"), F.col("at") + 1, F.col("size")).alias("part")).distinct().join(parts, ["k", "len", "i", "part"]).select("word", "v", "k").distinct()
+    near = met.where((F.col("v") != F.col("word")) & (F.levenshtein("v", "word") <= F.col("k"))).select("word", "v", F.lit(C.FRAGMENT_NEAR).alias("score"))
+    return equal.unionByName(near)
 
 
 def fragment_quality(asked: DataFrame, located_words: DataFrame) -> DataFrame:

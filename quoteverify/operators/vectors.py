@@ -29,21 +29,24 @@ def neighbours(asked: DataFrame, vectors: DataFrame, top: int = 8, block: int =
 
     counts = (max(1, -(-vectors.count() // block)), max(1, -(-asked.count() // block)))
     key = lambda df, n, name: df.select("word", unit(F.col("vec")).alias("vec")).withColumn(name, F.pmod(F.xxhash64("word"), F.lit(n)).cast("int"))
-    left = key(asked, counts[1], "h").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))))
+    left = key(asked, counts[1], "h").select(F.col("word").alias("a_word"), F.col("vec").alias("a_vec"), "h").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))))
     right = key(vectors, counts[0], "g").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
     kind = dict(vectors.dtypes)["word"]
+    arrow = pa.string() if kind == "string" else pa.int64()
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({"word": a["word"].slice(0, 0), "other": b["word"].slice(0, 0), "sim": pa.array([], pa.float64())})
-        matrix = lambda t: np.array(t["vec"].to_pylist(), dtype=np.float64)
-        sims, names, others = matrix(a) @ matrix(b).T, a["word"].to_pylist(), b["word"].to_pylist()
+            return pa.table({"word": pa.array([], arrow), "other": pa.array([], arrow), "sim": pa.array([], pa.float64())})
+        matrix = lambda vecs: np.array(vecs.to_pylist(), dtype=np.float64)
+        sims, names, others = matrix(a["a_vec"]) @ matrix(b["vec"]).T, a["a_word"].to_pylist(), b["word"].to_pylist()
         rows = ([], [], [])
         for i, name in enumerate(names):
-            order = sorted((j for j in np.argsort(-sims[i], kind="stable")[: top + 1 + np.count_nonzero(sims[i] >= np.sort(sims[i])[-min(top + 1, len(others))])] if others[j] != name), key=lambda j: (-round(float(sims[i, j]), 9), others[j]))[:top]
+            least = np.sort(sims[i])[-min(top + 1, len(others))]  # ties with the last one go by name
+            near = [j for j in np.flatnonzero(sims[i] >= least - 1e-9) if others[j] != name]
+            order = sorted(near, key=lambda j: (-round(float(sims[i, j]), 9), others[j]))[:top]
             for j in order:
                 rows[0].append(name), rows[1].append(others[j]), rows[2].append(float(sims[i, j]))
-        return pa.table({"word": pa.array(rows[0], a.schema.field("word").type), "other": pa.array(rows[1], b.schema.field("word").type), "sim": pa.array(rows[2], pa.float64())})
+        return pa.table({"word": pa.array(rows[0], arrow), "other": pa.array(rows[1], arrow), "sim": pa.array(rows[2], pa.float64())})
 
     found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(search, f"word {kind}, other {kind}, sim double")
     order = Window.partitionBy("word").orderBy(F.desc(F.round("sim", 9)), "other")
