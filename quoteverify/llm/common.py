@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quoteverify.session import ship
 
-#: Text bytes that a Python worker handles at once; a longer single text is still taken whole.
-SLICE_BYTES = 8 << 20
+#: Text bytes that a Python worker handles at once, and that Arrow passes at once; a longer single text is still taken whole.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,7 +76,7 @@ def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     empty; rows without a key can't be reported and take no part. Arrow batches of the session are bounded by bytes, as
     texts can be long."""
     ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGES, answer_rows, answered, cut_by_shard, make_blocks, map_blocks, messages, mix, pack_keys, pack_numbers, shard_count, unpack_keys, unpack_numbers
+from .blocks import MESSAGES, answer_rows, answered, cut_by_shard, hash_strings, make_blocks, map_blocks, messages, mix, pack_keys, pack_numbers, shard_count, unpack_keys, unpack_numbers
 from .common import ranges, written
 from .token_counts import word_lists
 
@@ -47,11 +47,8 @@ def is_held_out(doc_ids: np.ndarray) -> np.ndarray:
 
 def word_keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each word's place among the distinct ones, and the distinct ones' 64-bit keys."""
-    from xxhash import xxh64_intdigest
-
     coded = words.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    return coded.indices.to_numpy(), np.fromiter(map(xxh64_intdigest, distinct), np.uint64, len(distinct))
+    return coded.indices.to_numpy(), hash_strings(coded.dictionary)
 
 
 class TokenStream:

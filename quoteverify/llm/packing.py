@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, written
+from .common import BATCH_BYTES, slices, texts_of, written
 from .tokens import crc32, encoder, tokenizer_path, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> Dat
 
     def run(batches):
         encode = encoder(tokenizer).encode
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             ids, bounds = with_end(*encode(batch.column("text")), end_id)
             lengths = np.diff(bounds)
             pieces = -(-lengths // size)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, parallelism, ranges, slices, texts_of, work_path
+from .common import BATCH_BYTES, drop_path, parallelism, ranges, slices, texts_of, work_path
 from .tokens import crc32, encoder, tokenizer_path, with_end
 
 MAGIC = b"TKF1"
@@ -99,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held))
             return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{number:06d}"]), pa.array([len(ids)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc_ids, lengths, ids.astype("<u2" if size <= 1 << 16 else "<u4")))], ["shard", "n", "doc_ids", "lengths", "ids"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             ids, bounds = with_end(*encoder(tokenizer).encode(batch.column("text")), end_id)
             held.append((batch.column("doc_id").to_numpy(), np.diff(bounds), ids))
             ids_held += len(ids)
