@@ -97,10 +97,10 @@ def q_idf(spark, sf_dir):
     return Postings.build(table(spark, sf_dir, "documents")).stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("q_content_words", f"SELECT item_id, list_sort(list_distinct(list_filter({words_sql('text')}, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'a', 'is')))) AS content FROM benchmark")
+@query("q_content_words", f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter({words_sql('text')}, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'a', 'is')))), ' ') AS content FROM benchmark")
 def q_content_words(spark, sf_dir):
     ws = words(normalize(F.col("text"), "latin"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.sort_array(search.content_words(ws, ("the", "of", "and", "to", "in", "a", "is"))).alias("content"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.sort_array(search.content_words(ws, ("the", "of", "and", "to", "in", "a", "is"))), " ").alias("content"))
 
 
 # Search --------------------------------------------------------------------------------------------------------------
@@ -555,12 +555,13 @@ def run_to_table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame
     return spark.table(name)
 
 
-@query("q_stream_hourly", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS verdict, count(*) AS n FROM events GROUP BY ALL")
+@query("q_stream_hourly", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:00') AS hour, event_type AS verdict, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_hourly(spark, sf_dir):
     """Counts by hour and kind from a stream, the same as in batch."""
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     events = verify.read_posts(spark, f"{sf_dir}/events.parquet*", schema)
-    return run_to_table(spark, verify.counts_by_hour(events.withColumnRenamed("event_type", "verdict"), "ts"), "complete")
+    counts = run_to_table(spark, verify.counts_by_hour(events.withColumnRenamed("event_type", "verdict"), "ts"), "complete")
+    return counts.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
 
 @query("q_stream_carry", "SELECT conv_id, turn, role = 'user' AS flag, coalesce(lag(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn), false) AS carried FROM conversations")

@@ -223,3 +223,49 @@ def test_queries_match_their_sql(spark, sf_dir):
         got, expected = queries[name](spark, sf_dir).toPandas(), con.execute(sql).df()
         assert sorted(got.columns) == sorted(expected.columns), name
         assert rows(got) == rows(expected), name
+
+
+def test_registered_functions(spark):
+    from quoteverify.functions.register import register
+
+    register(spark)
+    r = spark.sql("SELECT normalize_text('إنّ') a, normalize_latin('It''s X') b, fuzz_ratio('abc', 'abd') c, partial_ratio('b', 'abc') d").head()
+    assert (r.a, r.b, round(r.c, 3), r.d) == ("ان", "it s x", 66.667, 100.0)
+    assert [x.text for x in spark.sql("SELECT * FROM pieces('قال ﷺ: «من غشنا فليس منا»')").collect()] == ["من غشنا فليس منا"]
+    assert spark.sql("SELECT * FROM html_cards('<div class=hadith>a</div><div class=hadith-info></div>')").head().text == "a"
+
+
+def test_images(spark):
+    from quoteverify.sources import images
+
+    def local(content):
+        if content == b"broken":
+            raise RuntimeError("no picture")
+        return [[("واستعينوا", 90), ("بالصبر", 88), ("والصلاه", 20 if content == b"blurred" else 92)]]
+
+    def model(content):
+        if content == b"quota":
+            raise RuntimeError("429 quota")
+        return [[(w, None) for w in ("واستعينوا بالصبر والصلاه" if content == b"clear" else "نص مختلف تماما هنا").split()]]
+
+    files_ = spark.createDataFrame([(k, bytearray(k.encode())) for k in ("clear", "blurred", "quota", "broken")], "digest string, content binary")
+    vocab = spark.createDataFrame([(w,) for w in ("واستعينوا", "بالصبر", "والصلاه")], "word string")
+    got = {r.digest: r for r in images.chosen(images.readings_of(files_, {"local": local, "model": model}), vocab, "local").collect()}
+    assert (got["clear"].engine, got["clear"].problem) == ("local", None)
+    assert got["blurred"].engine == "model" and got["broken"].engine == "model"
+    assert (got["quota"].engine, got["quota"].problem) == ("local", "quota")
+
+
+def test_lookup_with_a_default(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2)], "s int, a int")
+    names = spark.createDataFrame([("1:1", "one")], "key string, value string")
+    got = files.looked_up(rows, names, F.concat_ws(":", "s", "a"), "en", F.lit("")).orderBy("a").collect()
+    assert [r.en for r in got] == ["one", ""]
+
+
+def test_streams_match_batches(spark, sf_dir):
+    import __spark_entry__
+
+    queries = __spark_entry__.queries()
+    key = lambda name: sorted(map(str, queries[name](spark, sf_dir).collect()))
+    assert key("q_stream_carry") == key("q_conversation_carry")
