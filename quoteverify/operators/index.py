@@ -74,29 +74,49 @@ class Corpus:
 
 @dataclass
 class Postings:
-    """An inverted index with what BM25 needs."""
+    """An inverted index with what BM25 needs. Counts within a document come from its own row, so document frequencies need no
+    shuffle but that of the distinct words; postings of asked words are cut out before they are counted."""
 
     docs: DataFrame  # doc, norm, words, ...
-    terms: DataFrame  # term, doc, tf
-    lengths: DataFrame  # doc, len
+    terms: DataFrame  # term, doc, tf, len
     stats: DataFrame  # term, df, idf
     totals: DataFrame  # one row: n, avg_len, max_idf
+    sizes: DataFrame  # one row: n, avg_len
+    stored: bool = False
 
     @staticmethod
     def build(docs: DataFrame, key: str = "doc_id", text: str = "text", profile: str = "latin") -> Postings:
         rows = docs.withColumnRenamed(key, "doc").withColumn("norm", normalize(F.coalesce(F.col(text), F.lit("")), profile)).withColumn("words", words(F.col("norm")))
-        return Postings.of(rows, rows.select("doc", F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf")), rows.select("doc", F.size("words").alias("len")))
+        return Postings._of(rows, _postings(rows))
+
+    @staticmethod
+    def _of(docs: DataFrame, terms: DataFrame, stored: bool = False) -> Postings:
+        sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
+        found = terms.groupBy("term").agg(F.count("*").alias("df")) if stored else docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        stats = found.join(F.broadcast(sizes)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+        return Postings(docs, terms, stats, sizes.join(F.broadcast(stats.agg(F.max("idf").alias("max_idf")))), sizes, stored)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.docs.select("doc", F.size("words").alias("len"))
 
     def kept(self) -> Postings:
-        """The same with its tables persisted, for plans that read them more than once."""
-        return Postings.of(self.docs, self.terms.persist(), self.lengths.persist())
+        """The same with its postings persisted, for plans that read them more than once."""
+        return Postings._of(self.docs, self.terms.persist(), stored=True)
 
-    @staticmethod
-    def of(docs: DataFrame, terms: DataFrame, lengths: DataFrame) -> Postings:
-        sizes = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-        stats = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-        totals = sizes.join(F.broadcast(stats.agg(F.max("idf").alias("max_idf"))))
-        return Postings(docs, terms, lengths, stats, totals)
+    def of_terms(self, asked: DataFrame) -> DataFrame:
+        """The postings (term, doc, tf, len) of the asked words (term) alone."""
+        wanted = asked.select("term").distinct()
+        if self.stored:
+            return self.terms.join(wanted, "term", "left_semi")
+        return _postings(self.docs, wanted)
+
+
+def _postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    each = docs.select("doc", F.size("words").alias("len"), F.explode("words").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    return each.groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -107,8 +127,10 @@ def bm25(asked: DataFrame, index: Postings, top: int = C.TOP_DOCS, exclude: tupl
     """(q, doc, score, rank) of the best documents of each query. ``asked``: q, term and optionally boost, distinct."""
     boost = F.col("boost") if "boost" in asked.columns else F.lit(1.0)
     wanted = asked.where(~F.col("term").isin(*exclude)) if exclude else asked
-    weighed = wanted.join(index.stats, "term").withColumn("w", F.col("idf") * boost).select("q", "term", "w")
-    hits = index.terms.join(weighed, "term").join(index.lengths, "doc").join(F.broadcast(index.totals))
+    postings = index.of_terms(wanted)
+    rarity = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(index.sizes)).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
+    weighed = wanted.join(rarity, "term").withColumn("w", F.col("idf") * boost).select("q", "term", "w")
+    hits = postings.join(weighed, "term").join(F.broadcast(index.sizes))
     tf = F.col("tf")
     part = F.col("w") * tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") / F.col("avg_len")))
     scored = hits.groupBy("q", "doc").agg(F.round(F.sum(part), 9).alias("score"))  # rounded, so that ties do not hang on the order of sums

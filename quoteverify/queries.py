@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that are cut into words: that work should use all cores."""
+    return files.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def norm_sql(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g'))"
 
@@ -50,7 +55,7 @@ def benchmark_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sentences(table(spark, sf_dir, "documents"), "doc_id").select(F.concat_ws("#", "doc_id", "no").alias("piece"), "text")
+    return segment.sentences(documents(spark, sf_dir), "doc_id").select(F.concat_ws("#", "doc_id", "no").alias("piece"), "text")
 
 
 # Normalisation, tokens and indexes -----------------------------------------------------------------------------------
@@ -58,17 +63,17 @@ def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_normalize", f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
 def q_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text"), "latin").alias("norm"))
+    return documents(spark, sf_dir).select("doc_id", normalize(F.col("text"), "latin").alias("norm"))
 
 
 @query("q_tokenize", tokens_sql("documents", "doc_id"))
 def q_tokenize(spark, sf_dir):
-    return tokens(table(spark, sf_dir, "documents"), "doc_id")
+    return tokens(documents(spark, sf_dir), "doc_id")
 
 
 @query("q_vocab", f"SELECT DISTINCT word FROM ({tokens_sql('documents', 'doc_id')} UNION ALL {tokens_sql('benchmark', 'item_id')})")
 def q_vocab(spark, sf_dir):
-    return vocabulary(tokens(table(spark, sf_dir, "documents"), "doc_id").select("word"), tokens(table(spark, sf_dir, "benchmark"), "item_id").select("word"))
+    return vocabulary(tokens(documents(spark, sf_dir), "doc_id").select("word"), tokens(table(spark, sf_dir, "benchmark"), "item_id").select("word"))
 
 
 @query("q_bigram_index", pairs_sql("benchmark", "item_id"))
@@ -84,17 +89,17 @@ INDEX_SQL = f"tf AS MATERIALIZED ({TF_SQL}), lengths AS MATERIALIZED ({LEN_SQL})
 
 @query("q_tf", TF_SQL)
 def q_tf(spark, sf_dir):
-    return Postings.build(table(spark, sf_dir, "documents")).terms.select("doc", "term", "tf")
+    return Postings.build(documents(spark, sf_dir)).terms.select("doc", "term", "tf")
 
 
 @query("q_doc_len", LEN_SQL)
 def q_doc_len(spark, sf_dir):
-    return Postings.build(table(spark, sf_dir, "documents")).lengths
+    return Postings.build(documents(spark, sf_dir)).lengths
 
 
 @query("q_idf", f"WITH {INDEX_SQL} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def q_idf(spark, sf_dir):
-    return Postings.build(table(spark, sf_dir, "documents")).stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return Postings.build(documents(spark, sf_dir)).stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("q_content_words", f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter({words_sql('text')}, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'a', 'is')))), ' ') AS content FROM benchmark")
@@ -121,13 +126,13 @@ def top_sql(boost: str) -> str:
 
 @query("q_bm25_top40", f"{top_sql('1.0')} SELECT q, doc, round(score, 4) AS score, rank FROM top")
 def q_bm25_top40(spark, sf_dir):
-    index = Postings.build(table(spark, sf_dir, "documents")).kept()
+    index = Postings.build(documents(spark, sf_dir))
     return bm25(asked_items(spark, sf_dir), index).select("q", "doc", F.round("score", 4).alias("score"), "rank")
 
 
 @query("q_bm25_boosted", f"{top_sql('CASE WHEN length(term) >= 4 THEN 1.0 ELSE 0.9 END')} SELECT q, doc, round(score, 4) AS score, rank FROM top")
 def q_bm25_boosted(spark, sf_dir):
-    index = Postings.build(table(spark, sf_dir, "documents")).kept()
+    index = Postings.build(documents(spark, sf_dir))
     asked = asked_items(spark, sf_dir).withColumn("boost", F.when(F.length("term") >= 4, 1.0).otherwise(0.9))
     return bm25(asked, index).select("q", "doc", F.round("score", 4).alias("score"), "rank")
 
@@ -140,7 +145,7 @@ def q_bm25_boosted(spark, sf_dir):
     FROM (SELECT q, doc FROM top) p JOIN weights USING (q) JOIN total USING (q) LEFT JOIN tf ON tf.doc = p.doc AND tf.term = weights.term GROUP BY q, p.doc""".replace("SELECT q, doc, round(sum(CASE", "SELECT q, p.doc AS doc, round(sum(CASE"),
 )
 def q_coverage(spark, sf_dir):
-    index = Postings.build(table(spark, sf_dir, "documents")).kept()
+    index = Postings.build(documents(spark, sf_dir))
     asked = search.prepared(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text"), search.Collection(index), False)
     pairs = bm25(asked_items(spark, sf_dir), index)
     return search.coverage(asked, pairs, index).select("q", "doc", F.round("coverage", 4).alias("coverage"))
@@ -149,7 +154,7 @@ def q_coverage(spark, sf_dir):
 @query("q_search_benchmark")
 def q_search_benchmark(spark, sf_dir):
     """Status and best documents of each benchmark passage, by wording and coverage."""
-    index = Postings.build(table(spark, sf_dir, "documents")).kept()
+    index = Postings.build(documents(spark, sf_dir)).kept()
     found = search.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text"), search.Collection(index))
     return found.select("q", "status", F.transform("matches", lambda m: m["doc"]).alias("docs"), F.get("matches", F.lit(0))["score"].alias("score"), F.get("matches", F.lit(0))["coverage"].alias("coverage"))
 
@@ -237,7 +242,7 @@ def q_contained_passages(spark, sf_dir):
     """Passages that stand in a document as they are. Inner words of a passage must be whole words of the document, so its
     second and third word find the documents; only passages of three words or fewer meet all."""
     b = table(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text"), "latin").alias("norm")).withColumn("words", words(F.col("norm")))
-    d = table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text"), "latin").alias("hay")).withColumn("words", words(F.col("hay")))
+    d = documents(spark, sf_dir).select("doc_id", normalize(F.col("text"), "latin").alias("hay")).withColumn("words", words(F.col("hay")))
     inner = b.where(F.size("words") > 3).select("item_id", "norm", F.get("words", F.lit(1)).alias("w1"), F.get("words", F.lit(2)).alias("w2"))
     pairs = adjacent(d, "doc_id").select("doc_id", "w1", "w2").distinct()
     long_ = pairs.join(inner, ["w1", "w2"]).select("doc_id", "item_id", "norm").join(d.select("doc_id", "hay"), "doc_id").where(F.contains("hay", F.col("norm"))).select("doc_id", "item_id")
@@ -254,7 +259,7 @@ CHAIN_SQL = f"""sp AS MATERIALIZED (SELECT DISTINCT w1, w2 FROM ({pairs_sql('ben
 @query("q_longest_run", f"WITH {CHAIN_SQL} SELECT doc_id, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(repeats, 0) AS BIGINT) AS repeats FROM documents LEFT JOIN isl USING (doc_id) LEFT JOIN rep USING (doc_id)")
 def q_longest_run(spark, sf_dir):
     """Word pairs of each document that the passages have, their longest chain, and repeated pairs."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("reading"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("reading"), "text")
     pairs = q_bigram_index_rows(spark, sf_dir).select("w1", "w2").distinct()
     return readings.chains(docs, pairs, "latin").withColumnRenamed("reading", "doc_id")
 
@@ -278,7 +283,7 @@ def q_bigram_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_reading_score(spark, sf_dir):
     """Documents as readings: real words and debris by line, order of words, and the score they come to."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     lines = docs.select(F.col("doc_id").alias("reading"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     counted = readings.line_counts(lines, vocabulary(tokens(table(spark, sf_dir, "benchmark"), "item_id").select("word")), "latin")
     sums = counted.groupBy("reading").agg(F.sum("real").alias("real"), F.sum("junk").alias("junk"))
@@ -470,7 +475,7 @@ def q_conversation_carry(spark, sf_dir):
 
 @query("q_sentences", SENTENCES_SQL)
 def q_sentences(spark, sf_dir):
-    return segment.sentences(table(spark, sf_dir, "documents"), "doc_id")
+    return segment.sentences(documents(spark, sf_dir), "doc_id")
 
 
 @query("q_dedupe_content", "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY ALL")
@@ -485,7 +490,7 @@ def q_distinct_contents(spark, sf_dir):
 
 @query("q_set_operations", f"WITH d AS (SELECT DISTINCT word FROM ({tokens_sql('documents', 'doc_id')})), b AS (SELECT DISTINCT word FROM ({tokens_sql('benchmark', 'item_id')})) SELECT (SELECT count(*) FROM (SELECT * FROM d UNION SELECT * FROM b)) AS both_, (SELECT count(*) FROM (SELECT * FROM d EXCEPT SELECT * FROM b)) AS only_documents, (SELECT count(*) FROM (SELECT * FROM d INTERSECT SELECT * FROM b)) AS common")
 def q_set_operations(spark, sf_dir):
-    d = vocabulary(tokens(table(spark, sf_dir, "documents"), "doc_id").select("word")).withColumn("d", F.lit(1))
+    d = vocabulary(tokens(documents(spark, sf_dir), "doc_id").select("word")).withColumn("d", F.lit(1))
     b = vocabulary(tokens(table(spark, sf_dir, "benchmark"), "item_id").select("word")).withColumn("b", F.lit(1))
     return d.join(b, "word", "full").agg(F.count("*").alias("both_"), F.count_if(F.col("b").isNull()).alias("only_documents"), F.count_if(F.col("b").isNotNull() & F.col("d").isNotNull()).alias("common"))
 

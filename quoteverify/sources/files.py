@@ -15,6 +15,13 @@ BOOK = "hadiths array<struct<text:string,hadithnumber:string,arabicnumber:string
 CASES = "id int, category string, post string, expect string, ref string, original string, uthmani boolean, alteration string"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where their files make fewer partitions than there are cores (one small file, say); larger
+    inputs stay as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_verses(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     """(layer, chapter, verse, text) of one JSON file for each layer."""
     layers = [spark.read.schema(VERSES).json(path, multiLine=True).select(F.lit(layer).alias("layer"), F.explode("quran").alias("v")).select("layer", "v.*") for layer, path in paths.items()]
