@@ -153,8 +153,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return answer_rows(0, shard, [*block_ids, -1], [*(pack_numbers(*low_high(w), *low_high(p)) for w, p in zip(*answers)), stats])
 
     answers = answered(map_blocks(blocks, ask, MESSAGES), total, "counts")
-    stats = [np.frombuffer(r["payload"], "<i8") for r in answers.where("block = -1").select("payload").collect()]  # two numbers a shard
-    train_tokens, distinct = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0)
+    def read(batches):
+        for batch in batches:
+            sums = np.array([np.frombuffer(p.as_buffer(), "<i8") for p in batch.column("payload")], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["tokens", "words"])
+
+    sums = answers.where("block = -1").select("payload").mapInArrow(read, "tokens long, words long").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).head()
+    train_tokens, distinct = sums["tokens"] or 0, sums["words"] or 0
     strengths = STRENGTHS
 
     def score(block, ids, texts, got):

@@ -93,11 +93,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def tokenize(batches):
         from pyspark import TaskContext
 
-        part, held, ids_held, number = TaskContext.get().partitionId(), [], 0, 0
+        part, held, ids_held, number, before = TaskContext.get().partitionId(), [], 0, 0, 0
 
         def flush():
             doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{number:06d}"]), pa.array([len(ids)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc_ids, lengths, ids.astype("<u2" if size <= 1 << 16 else "<u4")))], ["shard", "n", "doc_ids", "lengths", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{number:06d}"]), pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc_ids, lengths, ids.astype("<u2" if size <= 1 << 16 else "<u4")))], ["shard", "part", "before", "n", "doc_ids", "lengths", "ids"])
 
         for batch in slices(batches, BATCH_BYTES):
             ids, bounds = with_end(*encoder(tokenizer).encode(batch.column("text")), end_id)
@@ -105,12 +105,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             ids_held += len(ids)
             if ids_held >= SHARD_IDS:
                 yield flush()
-                held, ids_held, number = [], 0, number + 1
+                held, ids_held, number, before = [], 0, number + 1, before + ids_held
         if held:
             yield flush()
 
     ordered = texts_of(docs).repartitionByRange(max(2, parallelism(spark)), "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
-    ordered.mapInArrow(tokenize, "shard string, n long, doc_ids binary, lengths binary, ids binary").write.option("compression", "zstd").parquet(raw)
+    ordered.mapInArrow(tokenize, "shard string, part int, before long, n long, doc_ids binary, lengths binary, ids binary").write.option("compression", "zstd").parquet(raw)
     table = spark.read.parquet(raw)
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
@@ -129,17 +129,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ranks = np.empty(size, np.uint32)
     ranks[by_rank] = np.arange(size)
     starts, total = {}, 0
-    for r in sorted(table.select("shard", "n").collect()):  # one row a file
-        starts[r["shard"]], total = total, total + r["n"]
+    for r in sorted(table.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # one row a partition
+        starts[r["part"]], total = total, total + r["n"]
     shared = spark.sparkContext.broadcast((ranks, starts))
 
     def encode(batches):
         ranks, starts = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, *arrays = (batch.column(c)[row] for c in ("shard", "doc_ids", "lengths", "ids"))
+                shard, part, before, *arrays = (batch.column(c)[row] for c in ("shard", "part", "before", "doc_ids", "lengths", "ids"))
                 doc_ids, lengths, ids = (np.frombuffer(a.as_buffer(), t) for a, t in zip(arrays, ("<i8", "<i8", kind)))
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([encode_shard(starts[shard.as_py()], doc_ids, lengths, ranks[ids])], pa.binary())], ["shard", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([encode_shard(starts[part.as_py()] + before.as_py(), doc_ids, lengths, ranks[ids])], pa.binary())], ["shard", "payload"])
 
     _write(table.mapInArrow(encode, "shard string, payload binary"), f"{path}/shards")
     _write(spark.createDataFrame([("ranks", bytearray(encode_shard(0, np.zeros(1, np.int64), np.array([size]), by_rank)))], "shard string, payload binary"), f"{path}/ranks")
