@@ -56,11 +56,10 @@ def glued_tokens(text: Column, profile: str = "arabic") -> Column:
 
 
 def bare(word: Column) -> Column:
-    """A word without its attached particles, taken off one after the other."""
-    size = F.length
-    word = F.when((size(word) > 3) & word.substr(1, 1).isin("و", "ف"), word.substr(F.lit(2), size(word))).otherwise(word)
-    word = F.when((size(word) > 4) & word.substr(1, 1).isin("ب", "ل", "ك") & (word.substr(2, 2) == "ال"), word.substr(F.lit(2), size(word))).otherwise(word)
-    return F.when((size(word) > 4) & word.substr(1, 2).isin("ال", "لل"), word.substr(F.lit(3), size(word))).otherwise(word)
+    """A word without its attached particles, taken off one after the other as long as enough letters are left."""
+    for particle in ("^[وف](?=.{3})", "^[بلك](?=ال.{2})", "^(?:ال|لل)(?=.{3})"):
+        word = F.regexp_replace(word, particle, "")
+    return word
 
 
 def with_particles(word: Column) -> Column:

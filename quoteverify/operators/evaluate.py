@@ -102,3 +102,33 @@ def tampered(rows: DataFrame, key: str, words: str, inserted: list[str], seed: i
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in an order drawn by a hash of the key: the same rows each time."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def holds_words(rows: DataFrame, text: str, keys: str) -> DataFrame:
+    """rows with ``held``: whether the text has every one of the key words (as parts of it)."""
+    return rows.withColumn("held", F.forall(keys, lambda k: F.contains(F.col(text), k)))
+
+
+def ablation(queries: DataFrame, collection, right: str = "expected") -> DataFrame:
+    """(q, expected, with_meaning, without): the first document found with and without the search by meaning, for queries (q,
+    text, expected)."""
+    from dataclasses import replace
+
+    from quoteverify.operators.search import search
+
+    first = lambda c, name: search(queries.select("q", "text"), c).select("q", F.get("matches", F.lit(0))["doc"].alias(name))
+    return queries.select("q", right).join(first(collection, "with_meaning"), "q", "left").join(first(replace(collection, vectors=None), "without"), "q", "left")
+
+
+def noisy(text: Column, key: Column, seed: int = 1) -> Column:
+    """Typing noise drawn by a hash of the key, for tests: a doubled space, a stretched letter, marks at the end, or none."""
+    kind = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(4))
+    stretched = F.regexp_replace(text, "^(.*?[ء-ي])([ء-ي])", "$1ـ$2")
+    return F.when(kind == 0, F.regexp_replace(text, " ", "  ")).when(kind == 1, stretched).when(kind == 2, F.concat(text, F.lit(" …!!"))).otherwise(text)
+
+
+def built_posts(items: DataFrame, key: str, intro: Column, text: Column, fillers: list[str], seed: int = 1) -> DataFrame:
+    """(key, post) of posts for tests: a filler line, the introduced item in quotes, a closing line, chosen by a hash of the
+    key."""
+    pick = lambda n: F.element_at(F.array(*map(F.lit, fillers)), F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(n)), F.lit(len(fillers))).cast("int") + 1)
+    return items.select(key, F.concat_ws("\n", pick(0), F.concat(intro, F.lit(": «"), text, F.lit("»")), pick(1)).alias("post"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quoteverify.functions import constants as C
 from quoteverify.functions.normalize import glue_tanween, normalize, words
+from quoteverify.session import held
 
 CHUNK = 64
 
@@ -101,8 +102,11 @@ class Postings:
         return self.docs.select("doc", F.size("words").alias("len"))
 
     def kept(self) -> Postings:
-        """The same with its postings persisted, for plans that read them more than once."""
-        return Postings._of(self.docs, self.terms.persist(), stored=True)
+        """The same with its tables written, for plans that read them more than once; searches do."""
+        docs = held(self.docs)
+        whole = Postings._of(docs, held(_postings(docs)), stored=True)
+        stats, sizes = held(whole.stats), held(whole.sizes)
+        return Postings(docs, whole.terms, stats, held(sizes.join(F.broadcast(stats.agg(F.max("idf").alias("max_idf"))))), sizes, True)
 
     def of_terms(self, asked: DataFrame) -> DataFrame:
         """The postings (term, doc, tf, len) of the asked words (term) alone."""

@@ -13,6 +13,7 @@ from quoteverify.functions import constants as C
 from quoteverify.functions.fuzzy import edits_allowed, fuzz_partial_ratio, ratio
 from quoteverify.functions.normalize import normalize, words
 from quoteverify.operators.index import CHUNK, Corpus
+from quoteverify.session import held
 
 DIFFERENCE = "struct<kind:string,written:string,correct:string,chapter:int,verse:int>"
 ALIGNED = f"struct<matched:int,longest:int,chapter:int,verse_from:int,verse_to:int,differences:array<{DIFFERENCE}>>"
@@ -106,7 +107,7 @@ def align_words(q: Column | str, window: Column | str) -> Column:
 def check(pieces: DataFrame, corpus: Corpus) -> DataFrame:
     """``pieces`` (piece, text) against the corpus: CHECKED, a row for each piece. A candidate goes to the alignment only
     if enough of the piece's words occur in its window at all, which bounds the words that can match."""
-    asked = query_words(pieces, corpus).cache()
+    asked = held(query_words(pieces, corpus))
     first = min(corpus.layers)
     short = asked.where(F.col("layer") == first).select("piece", (F.col("n") < C.MIN_WORDS).alias("short"))
     long_ = asked.where(F.col("n") >= C.MIN_WORDS)

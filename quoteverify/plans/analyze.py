@@ -16,12 +16,14 @@ from quoteverify.functions import constants as C
 from quoteverify.functions.normalize import canonical_typing, mend_salutation, normalize, words
 from quoteverify.operators import locate, search, segment, verdict
 from quoteverify.operators.index import Corpus
+from quoteverify.session import held
 from quoteverify.sources.external import same_wording
 
 
 @dataclass
 class Engine:
-    """What posts are checked against. ``names``: chapter, name; ``shown``: chapter, verse, text as it is shown."""
+    """What posts are checked against. ``names``: chapter, name; ``shown``: chapter, verse, text as it is shown. Results that
+    more than one route reads are written as tables."""
 
     corpus: Corpus
     collection: search.Collection
@@ -55,20 +57,20 @@ def analyze(posts: DataFrame, engine: Engine, from_image: bool = False, external
     typed = posts.select("post", canonical_typing(F.coalesce("text", F.lit(""))).alias("text"), uncertain.alias("uncertain"))
     if from_image:
         typed = typed.withColumn("text", mend_salutation(segment.mended_intro(F.col("text"))))
-    pieces = segment.pieces_of(typed).join(typed.select("post", "uncertain"), "post").withColumn("n", F.size(words(normalize(F.col("text"))))).cache()
+    pieces = held(segment.pieces_of(typed).join(typed.select("post", "uncertain"), "post").withColumn("n", F.size(words(normalize(F.col("text"))))))
     claims = pieces.where(~F.col("bare_intro"))
     intros = pieces.where("bare_intro").select("post", "seg_no", F.lit("text").alias("kind"), "text", "uncertain")
 
     # verses
     least = F.when(F.col("as_quran"), C.MIN_WORDS).otherwise(C.ROUTER_MIN_WORDS)
-    located = claims.join(checked(claims.where(F.col("n") >= C.MIN_WORDS), engine.corpus), "text", "left").cache()
+    located = held(claims.join(checked(claims.where(F.col("n") >= C.MIN_WORDS), engine.corpus), "text", "left"))
     ok, ratio = F.col("q.status") == "verified", F.col("q.match_ratio")
     enough = F.when(F.col("as_quran") & F.lit(from_image), C.IMAGE_RATIO).otherwise(C.ROUTER_RATIO)
     is_verse = (F.col("n") >= least) & F.col("q.status").isin("verified", "altered") & (ratio >= enough) & (F.col("as_quran") | ok | (ratio >= C.UNMARKED_RATIO) | (F.col("q.longest_run") >= C.UNMARKED_RUN))
     routed = located.withColumn("is_verse", F.coalesce(is_verse, F.lit(False)))
     rival = F.col("is_verse") & F.col("marked") & ~F.col("as_quran") & ~ok  # a saying may quote part of a verse
     to_search = routed.where(~F.col("is_verse") | rival).select("text", F.col("marked").alias("by_meaning"))
-    found = routed.withColumn("by_meaning", F.col("marked")).join(searched(to_search, engine.collection, from_image), ["text", "by_meaning"], "left").drop("by_meaning").cache()
+    found = held(routed.withColumn("by_meaning", F.col("marked")).join(searched(to_search, engine.collection, from_image), ["text", "by_meaning"], "left").drop("by_meaning"))
     verse = F.col("is_verse") & ~(rival & F.coalesce(F.col("h.status") == "found", F.lit(False)))
 
     # sayings, and what is presented as a verse but is none
@@ -83,8 +85,8 @@ def analyze(posts: DataFrame, engine: Engine, from_image: bool = False, external
     left = F.col("kind") == "quran_left"
     q_status = F.when(left & ~F.coalesce(F.col("q.status").isin("verified", "altered"), F.lit(False)), "not_found").otherwise(F.col("q.status"))
     kinds = kinds.withColumn("q_status", q_status).withColumn("misattributed", verdict.misattribution(F.col("kind") == "quran", F.col("kind") == "hadith", F.col("marked"), F.col("as_quran"), F.col("q.status"), status, verdict.says_god_speaks(F.col("top_text"))))
-    kinds = kinds.withColumn("kind", F.when(left, "quran").otherwise(F.col("kind")))
-    kinds = _with_nearest(_with_shown(kinds, engine), kinds.where(left), engine)
+    kinds = held(kinds.withColumn("left", left).withColumn("kind", F.when(left, "quran").otherwise(F.col("kind"))))
+    kinds = _with_nearest(_with_shown(kinds, engine), kinds.where("left"), engine)
 
     # external gradings of sayings that the collection lacks
     if external is not None:
@@ -92,11 +94,12 @@ def analyze(posts: DataFrame, engine: Engine, from_image: bool = False, external
         kinds = kinds.join(ratings, "text", "left")
     else:
         kinds = kinds.withColumn("ratings", F.lit(None).cast("array<string>"))
-    image = F.lit(from_image)
-    slip = verdict.reading_slip(image, F.col("q.differences"), F.col("text"), F.col("correct_text"), F.col("uncertain"))
-    top_score = F.get("h.matches", F.lit(0))["score"]
-    doubt = verdict.reading_doubtful(image, F.col("text"), F.col("uncertain"), top_score, F.col("top_text"))
-    decided = verdict.verdict(F.col("kind"), F.col("misattributed"), F.col("q_status"), image, F.coalesce(slip, F.lit(False)), status, F.col("top_rating"), F.coalesce(doubt, F.lit(False)), F.when(F.col("kind") == "hadith", F.col("ratings")))
+    image, slip, doubt = F.lit(from_image), F.lit(False), F.lit(False)
+    kinds = held(kinds)
+    if from_image:
+        slip = F.coalesce(verdict.reading_slip(image, F.col("q.differences"), F.col("text"), F.col("correct_text"), F.col("uncertain")), slip)
+        doubt = F.coalesce(verdict.reading_doubtful(image, F.col("text"), F.col("uncertain"), F.get("h.matches", F.lit(0))["score"], F.col("top_text")), doubt)
+    decided = verdict.verdict(F.col("kind"), F.col("misattributed"), F.col("q_status"), image, slip, status, F.col("top_rating"), doubt, F.when(F.col("kind") == "hadith", F.col("ratings")))
     shown = kinds.select("post", "seg_no", "kind", "text", "q", "q_status", "h", "misattributed", "nearest", "correct_text", "ratings", decided.alias("verdict"))
     return shown.unionByName(intros.drop("uncertain").withColumn("verdict", F.lit("neutral")).withColumn("misattributed", F.lit("")), allowMissingColumns=True)
 
@@ -117,14 +120,16 @@ def _with_nearest(rows: DataFrame, left: DataFrame, engine: Engine) -> DataFrame
     layer = min(engine.corpus.layers)
     texts = engine.corpus.passages.where(F.col("layer") == layer).select("axis", "chapter", "verse", F.col("text").alias("passage"))
     kept = near.join(texts, ["axis", "chapter", "verse"]).where(verdict.shares_most_words(F.col("q"), F.col("passage"))).select(F.col("q").alias("__q"), F.struct("chapter", "verse", F.col("passage").alias("text")).alias("nearest"))
-    return rows.join(kept, (F.col("text") == F.col("__q")) & (F.col("q_status") == "not_found"), "left").drop("__q")
+    return rows.join(held(kept), (F.col("text") == F.col("__q")) & (F.col("q_status") == "not_found"), "left").drop("__q")
 
 
 def report(segments: DataFrame) -> DataFrame:
-    """The checked segments with their headings, texts escaped and cut for cards."""
+    """The checked segments as cards: heading, escaped texts cut to their lengths, the first match of what was found or the first
+    two of what is similar, and the first three external entries."""
     cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
     label: Column = verdict.card_label(F.col("kind"), F.col("verdict"), F.col("misattributed"), F.col("q_status"))
-    return segments.where("kind <> 'text'").select("post", "seg_no", "kind", "verdict", label.alias("label"), verdict.escape_html(cut(F.col("text"), 600)).alias("shown"))
+    shown = F.slice("h.matches", 1, F.when(F.col("h.status") == "similar", 2).otherwise(1))
+    return segments.where("kind <> 'text'").select("post", "seg_no", "kind", "verdict", label.alias("label"), verdict.escape_html(cut(F.col("text"), 600)).alias("shown"), verdict.escape_html(cut(F.col("correct_text"), 600)).alias("correct"), F.when(F.col("kind") == "hadith", shown).alias("matches"), F.slice("ratings", 1, 3).alias("ratings"), verdict.escape_html(cut(F.col("nearest.text"), 250)).alias("nearest"))
 
 
 def verdict_counts(segments: DataFrame) -> DataFrame:

@@ -539,6 +539,29 @@ def q_image_outcome(spark, sf_dir):
     return rows.select("image", evaluate.image_outcome(F.col("e"), F.col("v")).alias("outcome"))
 
 
+_JUDGE = "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'none' WHEN toxic = 1 THEN 'bad' ELSE 'ok' END AS expect, CASE WHEN doc_id % 2 = 0 THEN 'ayah_altered' ELSE 'hadith_weak' END AS category, doc_id % 3 AS n_checked, CASE WHEN doc_id % 5 < 2 THEN 'bad' ELSE 'ok' END AS verdict, doc_id % 7 < 4 AS right_place FROM labels"
+
+
+@query("q_judged", f"SELECT doc_id, CASE WHEN expect = 'none' THEN n_checked = 0 WHEN n_checked = 0 THEN false ELSE verdict = expect AND (category NOT LIKE 'ayah%' OR right_place) END AS ok FROM ({_JUDGE})")
+def q_judged(spark, sf_dir):
+    """Whether reports meet labelled cases; labels stand for the cases."""
+    table(spark, sf_dir, "labels").createOrReplaceTempView("labels")
+    rows = spark.sql(_JUDGE)
+    return rows.select("doc_id", evaluate.judged(*map(F.col, ("expect", "category", "n_checked", "verdict", "right_place"))).alias("ok"))
+
+
+@query("q_holds_words", f"SELECT doc_id, list_bool_and(list_transform(['the', 'and', 'of'], lambda k: contains(norm, k))) AS held FROM (SELECT doc_id, {norm_sql('text')} AS norm FROM documents)")
+def q_holds_words(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", normalize(F.col("text"), "latin").alias("norm"), F.array(*map(F.lit, ("the", "and", "of"))).alias("keys"))
+    return evaluate.holds_words(rows, "norm", "keys").select("doc_id", "held")
+
+
+@query("q_unique_passages", f"SELECT item_id FROM (SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {norm_sql('text')} AS norm FROM documents) d JOIN (SELECT item_id, {norm_sql('text')} AS norm FROM benchmark) b ON contains(d.norm, b.norm)) GROUP BY item_id HAVING count(*) = 1")
+def q_unique_passages(spark, sf_dir):
+    """Passages that exactly one document contains."""
+    return q_contained_passages(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n")).where("n = 1").select("item_id")
+
+
 @query("q_medians", "SELECT lang, CAST(median(n_chars) AS DOUBLE) AS median, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper FROM documents GROUP BY lang")
 def q_medians(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.median("n_chars").alias("median"), evaluate.upper_median("n_chars").alias("upper"))

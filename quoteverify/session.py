@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +28,19 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     archive.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(target)
+
+
+def held(rows: DataFrame, name: str = "held") -> DataFrame:
+    """rows as a table in the folder that ``spark.checkpoint.dir`` names, for what more than one branch of a plan reads. Plans
+    end there, so they stay small, and a lost executor costs no more than its tasks. The folder is a temporary one only
+    where none is set; the table goes when the session's JVM ends."""
+    context = rows.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="quoteverify-")
+        context.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -34,7 +34,7 @@ def corpus(verses):
 @pytest.fixture(scope="module")
 def collection(spark):
     docs = spark.createDataFrame(SAYINGS, "doc_id long, text string, trusted boolean, rating string")
-    return search.Collection.arabic(Postings.build(docs, profile="arabic"), preferred="trusted")
+    return search.Collection.arabic(Postings.build(docs, profile="arabic").kept(), preferred="trusted")
 
 
 @pytest.fixture(scope="module")
@@ -159,3 +159,16 @@ def test_pieces():
     assert list(segment.split_post("قال تعالى: ﴿إن مع العسر يسرا﴾ وقال ﷺ: «من غشنا فليس منا»")) == [("إن مع العسر يسرا", False, True), ("من غشنا فليس منا", True, False)]
     assert list(segment.split_post("قال رسول الله ﷺ:")) == [("", True, False)]
     assert list(segment.split_post("")) == []
+
+
+def test_ablation_and_generators(spark, collection, engine):
+    from quoteverify.operators import evaluate
+
+    vectors = spark.createDataFrame([("الحسنه", [1.0, 0.1]), ("الطيبه", [1.0, 0.0]), ("صدقه", [0.0, 1.0])], "word string, vec array<double>")
+    own = search.Collection.arabic(collection.index, preferred="trusted", vectors=vectors)
+    r = evaluate.ablation(spark.createDataFrame([("m", "الكلمة الحسنة صدقة", 6)], "q string, text string, expected long"), own).head()
+    assert r.with_meaning == 6 and r.without is None
+    items = spark.createDataFrame([(i, t) for i, t, *_ in SAYINGS[:3]], "k long, text string")
+    posts = evaluate.built_posts(items, "k", F.lit("قال رسول الله ﷺ"), evaluate.noisy(F.col("text"), F.col("k")), ["صباح الخير يا جماعة", "انشرها ولك الأجر"])
+    got = analyze(posts.select(F.col("k").alias("post"), F.col("post").alias("text")), engine).where("kind <> 'text'").collect()
+    assert sorted((r.post, r.verdict) for r in got) == [(1, "ok"), (2, "ok"), (3, "ok")]
