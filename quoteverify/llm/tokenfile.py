@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, drop_path, parallelism, ranges, slices, texts_of, work_path
+from .common import BATCH_BYTES, drop_path, parallelism, slices, texts_of, work_path
 from .tokens import crc32, encoder, tokenizer_path, with_end
 
 MAGIC = b"TKF1"
