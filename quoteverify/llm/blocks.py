@@ -20,7 +20,7 @@ from .tokenfile import decode_numbers, encode_numbers
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Text bytes of the corpus for each shard.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 BLOCKS = "block long, docs int, size long, doc_ids binary, ends binary, text binary"
 
 
@@ -193,6 +193,8 @@ def answered(sent: DataFrame, each, name: str) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block").combine_chunks()
-        return each(rows["shard"][0].as_py(), rows["block"].to_pylist(), [x.as_buffer() for x in rows["payload"]])
+        out = each(rows["shard"][0].as_py(), rows["block"].to_pylist(), [x.as_buffer() for x in rows["payload"]])
+        pa.default_memory_pool().release_unused()
+        return out
 
     return written(sent.groupBy("shard").applyInArrow(run, ANSWERS), name)
