@@ -3,8 +3,10 @@
 A document is contaminated by an item if one of its windows as long as the item (in words) has a weighted similarity of
 0.8 or more with it, over shingles of five words.
 
-1. Anchors. A similarity above 0 needs a common shingle, so only windows that put a common shingle where the item has
-   it are looked at; each is one item long. Equal windows are handled once, whatever number of documents has them.
+1. Windows. The similarity asks for no order, so every window one item long counts, wherever in it the shingles lie. A
+   match has at least 0.8 of the item's weight in common, so the places that hold an item's shingles are summed over each
+   stretch of starts (every shingle counts in the n windows that cover it), and just the windows whose sum reaches that
+   are formed: no other can match. Equal windows are handled once, whatever number of documents has them.
 2. SimHash. Each distinct window and each item gets 64 bits: a bit is 1 if the weights of the shingles whose hash has it
    outweigh the others.
 3. Multi-index. The 64 bits fall into 8 blocks. Of two fingerprints within ``RADIUS`` = 23 bits, at least one block
@@ -29,14 +31,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 23, 8
-#: Rows of anchors up to which they are broadcast (about 40 bytes each).
+#: Rows of anchors up to which they are broadcast (about 50 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -75,18 +77,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     most = F.lit(1 + n_items).cast("double")
     weighted = lambda rows: rows.join(weights, "h", "left").withColumn("weight", F.coalesce("weight", F.log(most)))
 
-    anchors = bench.select(F.size("sh").alias("n"), F.posexplode("sh").alias("q", "h")).distinct()
+    item_rows = written(weighted(bench.select("item_id", F.explode("sh").alias("h"))), "item_rows")
+    needed = item_rows.groupBy("item_id").agg((F.sum("weight") * similarity).alias("needed"))
+    anchors = item_rows.distinct().join(needed, "item_id").join(bench.select("item_id", F.size("sh").alias("n")).distinct(), "item_id")
     small = anchors.count() <= BROADCAST_ROWS
-    places = texts_of(docs).select("doc_id", F.posexplode(shingles(F.col("text"))).alias("p", "h"))
+    places = texts_of(docs).select("doc_id", shingles(F.col("text")).alias("sh")).select("doc_id", F.size("sh").alias("size"), F.posexplode("sh").alias("p", "h"))
     hits = places.join(F.broadcast(anchors) if small else anchors, "h")
-    starts = written(hits.select("doc_id", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "n").distinct().groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("at")), "starts")
+    # a shingle's weight comes in at the first start whose window covers it and goes after the last one
+    covers = F.array(F.struct(F.greatest(F.col("p") - F.col("n") + 1, F.lit(0)).alias("start"), F.col("weight").alias("step")), F.struct((F.least(F.col("p"), F.greatest(F.col("size") - F.col("n"), F.lit(0))) + 1).alias("start"), (-F.col("weight")).alias("step")))
+    steps = hits.select("doc_id", "item_id", "n", "needed", F.inline(covers)).groupBy("doc_id", "item_id", "n", "needed", "start").agg(F.sum("step").alias("step"))
+    along = Window.partitionBy("doc_id", "item_id", "n", "needed").orderBy("start")
+    held = steps.withColumn("held", F.sum("step").over(along)).withColumn("next", F.lead("start").over(along)).where(F.col("held") >= F.col("needed") - 1e-6)
+    starts = written(held.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("next") - 1)).alias("start"), "n").distinct().groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("at")), "starts")
     contents = hashed(texts_of(docs).join(starts, "doc_id"))
     # a window that passes the text's end moves back into it
     windows = contents.select("doc_id", F.explode(F.transform("at", lambda w: F.struct(F.greatest(F.least(w["start"], F.size("sh") - w["n"]), F.lit(0)).alias("start"), w["n"].alias("n"), F.slice("sh", F.greatest(F.least(w["start"], F.size("sh") - w["n"]), F.lit(0)) + 1, w["n"]).alias("sh")))).alias("w"))
     windows = written(windows.select("doc_id", "w.start", "w.n", "w.sh").withColumn("window", F.xxhash64("n", "sh")), "windows")
     distinct = written(windows.groupBy("window").agg(F.first("sh").alias("sh"), F.first("n").alias("n")), "distinct")
     window_rows = written(weighted(distinct.select("window", F.explode("sh").alias("h"))), "window_rows")
-    item_rows = written(weighted(bench.select("item_id", F.explode("sh").alias("h"))), "item_rows")
 
     width = 64 // BLOCKS
     within = radius // BLOCKS

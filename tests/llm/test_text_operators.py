@@ -313,3 +313,35 @@ def test_decontamination(spark, make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in {k[0] for k in expected})
     assert decontaminate.decontaminate(make_docs([]), bench).count() == 0
     assert decontaminate.decontaminate(make_docs(docs), bench.limit(0)).count() == 0
+
+
+def test_decontamination_meets_every_window(spark, make_docs):
+    """Parts of an item in another order, in the middle of other text: no shingle lies where the item's window would start."""
+    draw = np.random.default_rng(8)
+    foreign = lambda n: [f"f{x}" for x in draw.integers(0, 10**6, n)]
+    a, b, d = ([f"{name}{k}" for k in range(30)] for name in "abd")
+    long = [f"c{k}" for k in range(60)]
+    items = [(1, a + b), (2, long), (3, [f"e{k}" for k in range(6)]), (4, ["r"] * 12 + d)]
+    bodies = [b + a, a + b, b[:28] + a, long[40:] + long[:40], long[30:] + long[:30], long[20:40] + long[:20] + long[40:], items[2][1], ["r"] * 30, d + ["r"] * 12, a, b + foreign(3) + a]
+    docs = [(k, foreign(25) + body + foreign(25)) for k, body in enumerate(bodies)] + [(50, b + a), (51, a + b[:25]), (52, foreign(9) + b + a + foreign(9) + a + b)]
+    shingle = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+    of = {i: shingle(w) for i, w in items}
+    df = Counter(h for s in of.values() for h in set(s))
+    weight = lambda h: math.log(1 + len(items) / df.get(h, 1))
+    expected = {}
+    for doc, w in docs:
+        s = shingle(w)
+        for i, other in of.items():
+            y = Counter(other)
+            for k in range(max(1, len(s) - len(other) + 1)):
+                x = Counter(s[k : k + len(other)])
+                common = sum(min(x[h], y[h]) * weight(h) for h in x)
+                value = common / (sum(weight(h) * m for h, m in (x + y).items()) - common)
+                if value >= 0.8 - 1e-9:
+                    best, windows, first = expected.get((doc, i), (0, 0, k))
+                    expected[doc, i] = max(best, round(value, 6)), windows + 1, first
+    bench = spark.createDataFrame([(i, " ".join(w), "x") for i, w in items], "item_id long, text string, sh string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.windows, r.first_word) for r in decontaminate.decontaminate(make_docs([(i, " ".join(w)) for i, w in docs]), bench).collect()}
+    assert {(0, 1), (4, 2), (50, 1), (52, 1)} <= set(expected) and got.keys() == expected.keys()
+    for key, (value, windows, first) in expected.items():
+        assert got[key] == (pytest.approx(value, abs=2e-6), windows, first), key
