@@ -332,10 +332,10 @@ def q_fragment_quality(spark, sf_dir):
 
 @query("q_search_fragment")
 def q_search_fragment(spark, sf_dir):
-    """The five passages nearest to the first line of each conversation."""
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    asked = first.select(F.col("conv_id").alias("q"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("text"))
-    return locate.search_fragment(asked, benchmark_corpus(spark, sf_dir)).select("q", "rank", F.col("chapter").alias("item_id"), "words_found", "words_asked")
+    """The five passages nearest to each line of each turn; lines without a word have none."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    asked = lines.select(F.struct("conv_id", "turn", "line").alias("q"), "text")
+    return locate.search_fragment(asked, benchmark_corpus(spark, sf_dir)).select("q.conv_id", "q.turn", "q.line", "rank", F.col("chapter").alias("item_id"), "words_found", "words_asked")
 
 
 @query(

@@ -269,3 +269,15 @@ def test_streams_match_batches(spark, sf_dir):
     queries = __spark_entry__.queries()
     key = lambda name: sorted(map(str, queries[name](spark, sf_dir).collect()))
     assert key("q_stream_carry") == key("q_conversation_carry")
+
+
+def test_fragments_of_every_line(spark, tmp_path):
+    import __spark_entry__
+
+    passages = [(k, " ".join(f"{w}{'abcdefgh'[k]}" for w in ("stone", "river", "candle", "morning", "über"))) for k in range(4)]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    turns = [(1, 0, f"{passages[0][1]}\n{passages[1][1]}"), (1, 1, f"\n{passages[2][1]}"), (2, 3, passages[3][1]), (3, 0, None), (3, 1, "")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = __spark_entry__.queries()["q_search_fragment"](spark, str(tmp_path)).where("rank = 1").collect()
+    got = {(r.conv_id, r.turn, r.line): (r.item_id, r.words_found, r.words_asked) for r in rows}
+    assert got == {(1, 0, 0): (0, 5, 5), (1, 0, 1): (1, 5, 5), (1, 1, 1): (2, 5, 5), (2, 3, 0): (3, 5, 5)} and len(rows) == 4
