@@ -53,8 +53,9 @@ def neighbours(asked: DataFrame, vectors: DataFrame, top: int = 8, block: int =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def greatest_similarity(asked: DataFrame, among: DataFrame) -> DataFrame:
+def greatest_similarity(asked: DataFrame, among: DataFrame, itself: bool = True) -> DataFrame:
     """(q, word, sim): the greatest cosine of each asked word with the words of its own query's list. ``asked``: q, word, vec;
-    ``among``: q, other, vec."""
+    ``among``: q, other, vec. ``itself``: whether a word of the list that is the asked one counts."""
     met = asked.select("q", "word", unit(F.col("vec")).alias("a")).join(among.select("q", "other", unit(F.col("vec")).alias("b")), "q")
+    met = met if itself else met.where(F.col("word") != F.col("other"))
     return met.groupBy("q", "word").agg(F.max(dot(F.col("a"), F.col("b"))).alias("sim"))

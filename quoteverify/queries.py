@@ -365,8 +365,8 @@ def q_cosine_topk(spark, sf_dir):
 def q_max_similarity(spark, sf_dir):
     """For each vector whose id is divisible by 100 the greatest similarity with the others of its label."""
     v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("q"), "vec_id", F.col("embedding").alias("vec"))
-    asked, among = v.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "word"), v.where(F.col("vec_id") % 100 != 0).withColumnRenamed("vec_id", "other")
-    return vectors.greatest_similarity(asked, among).select("q", "word", F.round("sim", 6).alias("sim"))
+    asked, among = v.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "word"), v.withColumnRenamed("vec_id", "other")
+    return vectors.greatest_similarity(asked, among, itself=False).select("q", "word", F.round("sim", 6).alias("sim"))
 
 
 @query("q_unit_vectors", "WITH u AS (SELECT vec_id AS word, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 1e-9)) AS vec FROM embeddings) SELECT word, CAST(unnest(range(len(vec))) AS INTEGER) AS pos, round(unnest(vec), 6) AS x FROM u")

@@ -281,3 +281,16 @@ def test_fragments_of_every_line(spark, tmp_path):
     rows = __spark_entry__.queries()["q_search_fragment"](spark, str(tmp_path)).where("rank = 1").collect()
     got = {(r.conv_id, r.turn, r.line): (r.item_id, r.words_found, r.words_asked) for r in rows}
     assert got == {(1, 0, 0): (0, 5, 5), (1, 0, 1): (1, 5, 5), (1, 1, 1): (2, 5, 5), (2, 3, 0): (3, 5, 5)} and len(rows) == 4
+
+
+def test_greatest_similarity_meets_all_candidates(spark, tmp_path):
+    """The nearest vectors have ids divisible by 100 too, and one label has no others."""
+    import __spark_entry__
+
+    draw = random.Random(9)
+    rows = [(i, label, [draw.uniform(-1, 1) for _ in range(4)]) for i, label in [(k * 50, k % 3) for k in range(24)] + [(5000, 7), (5100, 7), (6000, 8)]]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    expected = {(l, i): max(cosine(v, w) for j, m, w in rows if m == l and j != i) for i, l, v in rows if i % 100 == 0 and l != 8}
+    got = {(r.q, r.word): r.sim for r in __spark_entry__.queries()["q_max_similarity"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(expected, abs=1e-6) and (7, 5000) in got
