@@ -4,7 +4,8 @@ Each id is replaced by its rank by corpus frequency, so common ids take one byte
 of four ranks (its bytes less one) and stand apart from the data bytes, so a reader finds every rank's place by a
 table lookup and a running sum, all in numpy.
 
-A file holds one shard of documents in ascending doc_id order, and files ascend by the name of their folder. Layout,
+A file holds shards of documents, each in ascending doc_id order, one after the other; files ascend by the names of
+their folder (one for each range of doc_ids) and of themselves, and each shard tells its own place. Layout of a shard,
 little-endian: magic ``TKF1``, four 64-bit numbers (ids of all documents before the file, documents, ids, data
 bytes), doc_ids (64 bits each), lengths (64 bits each), control bytes, data bytes, then one byte 0x0A. The folder
 ``ranks`` has one file of the same kind whose ids are the vocabulary in rank order, coded without ranking.
@@ -13,7 +14,8 @@ The shards are written by Spark's own writer, so a lost task leaves no half file
 only because that writer puts the bytes of a column into a file as they are.
 
 Edge cases: a null or empty text holds the end id alone; rows with a null doc_id take no part; repeated doc_ids stand
-beside each other, shorter first; an empty table writes no shard and reads back as no rows.
+beside each other, shorter first, then by a hash of the text; texts that hold one of the tokenizer's added tokens follow
+the library's defaults; an empty table writes no shard and reads back as no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .tokens import crc32, encoder, tokenizer_path, with_end
 MAGIC = b"TKF1"
 #: Ids in a shard, about; a longer document is still kept whole.
 SHARD_IDS = 2 << 20
+#: Shards in a file at most, as a reader takes a file as a whole.
+SHARDS_PER_FILE = 16
 
 #: For each control byte the sizes of its four numbers, and their sum.
 SIZES = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.int64)
@@ -80,7 +84,7 @@ def decode_shards(content: bytes):
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.select("shard", F.col("payload").cast("string").alias("payload")).write.option("compression", "none").partitionBy("shard").text(path)
+    df.sortWithinPartitions("part", "shard").select("part", F.col("payload").cast("string").alias("payload")).write.option("compression", "none").option("maxRecordsPerFile", SHARDS_PER_FILE).partitionBy("part").text(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> None:
@@ -109,7 +113,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if held:
             yield flush()
 
-    ordered = texts_of(docs).repartitionByRange(max(2, parallelism(spark)), "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    by = ("doc_id", F.length("text"), F.xxhash64("text"))  # rows of one doc_id may fill more than one partition
+    ordered = texts_of(docs).repartitionByRange(max(2, parallelism(spark)), *by).sortWithinPartitions(*by)
     ordered.mapInArrow(tokenize, "shard string, part int, before long, n long, doc_ids binary, lengths binary, ids binary").write.option("compression", "zstd").parquet(raw)
     table = spark.read.parquet(raw)
     kind = "<u2" if size <= 1 << 16 else "<u4"
@@ -139,10 +144,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             for row in range(batch.num_rows):
                 shard, part, before, *arrays = (batch.column(c)[row] for c in ("shard", "part", "before", "doc_ids", "lengths", "ids"))
                 doc_ids, lengths, ids = (np.frombuffer(a.as_buffer(), t) for a, t in zip(arrays, ("<i8", "<i8", kind)))
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()]), pa.array([encode_shard(starts[part.as_py()] + before.as_py(), doc_ids, lengths, ranks[ids])], pa.binary())], ["shard", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part.as_py():08d}"]), pa.array([shard.as_py()]), pa.array([encode_shard(starts[part.as_py()] + before.as_py(), doc_ids, lengths, ranks[ids])], pa.binary())], ["part", "shard", "payload"])
 
-    _write(table.mapInArrow(encode, "shard string, payload binary"), f"{path}/shards")
-    _write(spark.createDataFrame([("ranks", bytearray(encode_shard(0, np.zeros(1, np.int64), np.array([size]), by_rank)))], "shard string, payload binary"), f"{path}/ranks")
+    _write(table.mapInArrow(encode, "part string, shard string, payload binary"), f"{path}/shards")
+    _write(spark.createDataFrame([("ranks", "ranks", bytearray(encode_shard(0, np.zeros(1, np.int64), np.array([size]), by_rank)))], "part string, shard string, payload binary"), f"{path}/ranks")
     drop_path(spark, raw)
 
 

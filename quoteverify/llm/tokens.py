@@ -4,12 +4,14 @@ Both tokenizer kinds used here cut a text into pre-tokens before merging, and no
 before a single space that is followed by a non-space. So a text's ids are the ids of its pieces between such
 places, one after the other, and each distinct piece needs encoding once. A piece's last punctuation is a pre-token
 of its own where a letter or digit stands before it, so it is encoded apart from its stem. Arrow cuts and counts the
-pieces, the tokenizers library encodes the distinct ones, numpy puts the ids together.
+pieces, the tokenizers library encodes the distinct ones, numpy puts the ids together. Texts that may hold one of the
+tokenizer's added tokens (such as an end-of-text mark) are encoded whole, by the library's default rules.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import repeat
 
@@ -37,6 +39,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def sign_of(token: str) -> str:
+    """What a text that the library may find an added token in holds: the token's first signs, whose case can't differ."""
+    return re.match(r"[!-/:-@\[-`{-~]{2,}|", token)[0] or token
+
+
 class PieceEncoder:
     """Encodes Arrow string arrays. ``spaced``: the tokenizer keeps the space before a word (byte-level); otherwise
     white space is dropped."""
@@ -46,7 +53,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({sign_of(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()})
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
@@ -144,6 +151,8 @@ class PieceEncoder:
         if len(self.known) > KEPT_PIECES:
             self._forget()
         plain = pc.invert(pc.match_substring_regex(texts, IRREGULAR)).to_numpy(zero_copy_only=False) if self.spaced else np.ones(n, bool)
+        for sign in self.added:  # the library cuts a text at its added tokens first, so such a text goes to it whole
+            plain = plain & ~pc.match_substring(texts, sign, ignore_case=True).to_numpy(zero_copy_only=False)
         rest = texts.filter(pa.array(plain))
         cut = pc.split_pattern(rest if self.spaced else pc.replace_substring(rest, "\n", " "), " ")
         bounds = np.frombuffer(cut.buffers()[1], np.int32)[cut.offset : cut.offset + len(cut) + 1].astype(np.int64)
@@ -156,14 +165,14 @@ class PieceEncoder:
         own: dict[int, np.ndarray] = {}
         if self.spaced:  # a text's first piece has no space before it
             firsts = bounds[:-1]
-            whole = np.flatnonzero(~plain)
             apart = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(firsts)).to_pylist() if len(firsts) else [], add_special_tokens=False)]
             extra = np.array([x for ids in apart for x in ids], self.dtype)
             sizes = np.array([len(ids) for ids in apart], np.int64)
             lengths[firsts], offsets[firsts] = sizes, len(held) + np.cumsum(sizes) - sizes
             held = np.concatenate([held, extra])
-            for i, e in zip(whole, self.tokenizer.encode_batch_fast(texts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False) if len(whole) else ()):
-                own[int(i)] = np.array(e.ids, self.dtype)
+        whole = np.flatnonzero(~plain)
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast(texts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False) if len(whole) else ()):
+            own[int(i)] = np.array(e.ids, self.dtype)
         ids = held[ranges(offsets, lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.zeros(n, np.int64)

@@ -38,6 +38,6 @@ def corpus_rows():
         rows.append((i * 3, t))
     copy = rows[5][1]
     rows += [(500, copy), (501, copy), (502, copy + " end"), (503, copy.upper())]
-    rows += [(600, ""), (601, None), (602, "   \n\t"), (603, "one"), (604, "one two"), (605, " x\x0by\x0cz "), (606, "ünï cödé 漢字 ﷺ €5 <|endoftext|> it's. 'S İ İ."), (607, "a " * 3000 + text(5000)), (608, "word" * 2000)]
+    rows += [(600, ""), (601, None), (602, "   \n\t"), (603, "one"), (604, "one two"), (605, " x\x0by\x0cz "), (606, "ünï cödé 漢字 ﷺ €5 <|endoftext|> it's. 'S İ İ."), (607, "a " * 3000 + text(5000)), (608, "word" * 2000), (609, "a <|endoftext|> b <|STARTOFTEXT|>")]
     rows += [(605, " x\x0by\x0cz "), (503, copy.upper())]
     return rows

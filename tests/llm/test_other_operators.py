@@ -101,13 +101,12 @@ def test_toxicity_without_labels(spark, make_docs):
 
 
 def plain_top(rows, is_query, k):
-    good = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = set()
-    for q in good:
+    good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    scored = {}
+    for q, v in good:
         if is_query(q):
-            scored = sorted((-sum(a * b for a, b in zip(good[q], good[c])), c) for c in good if c != q)[:k]
-            out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)}
-    return out
+            scored.setdefault(q, []).extend((-sum(a * b for a, b in zip(v, w)), c) for c, w in good if c != q)
+    return sorted((q, n + 1, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for q, pairs in scored.items() for n, (s, c) in enumerate(sorted(pairs)[:k]))
 
 
 @pytest.mark.parametrize("groups", [(8192, 4096), (16, 3)])
@@ -117,11 +116,15 @@ def test_exact_top_k(spark, monkeypatch, groups):
     draw = np.random.default_rng(7)
     rows = [(i, draw.normal(0, 0.2, 20).tolist()) for i in range(120)]
     rows += [(200 + i, rows[0][1]) for i in range(30)] + [(300, None), (301, [float("nan")] * 20), (302, [float("inf")] * 20), (303, [None] * 20), (304, [0.5, 0.5]), (305, []), (None, rows[1][1]), (0, rows[0][1])]
+    rows += [(5, [0.9] * 20), (5, [0.1] * 20), (5, [0.9] * 20), (10, [0.7] * 20)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     got = topk.exact_top_k(table, lambda i: i % 10 == 0, k=5)
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == plain_top(rows, lambda i: i % 10 == 0, 5) and got.count() == len(got.distinct().collect())
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == plain_top(rows, lambda i: i % 10 == 0, 5)
+    large = rows[:30] + [(400, [1e12] * 20), (401, [-3e30, 1.0]), (410, [7e11] * 20)]
+    got = topk.exact_top_k(spark.createDataFrame([(*r, "x") for r in large], "vec_id long, embedding array<float>, score string"), lambda i: i % 10 == 0, k=5)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == plain_top(large, lambda i: i % 10 == 0, 5)
     few = topk.exact_top_k(table.where("vec_id < 3"), lambda i: i % 10 == 0, k=5)
-    assert few.count() == 2 and topk.exact_top_k(table.limit(0), lambda i: i % 10 == 0).count() == 0
+    assert few.count() == 4 and topk.exact_top_k(table.limit(0), lambda i: i % 10 == 0).count() == 0
     assert topk.exact_top_k(table.where(F.col("vec_id") == 0), lambda i: i % 10 == 0).count() == 0
 
 

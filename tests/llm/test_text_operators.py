@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer, models
 
 from quoteverify.llm import decontaminate, lm, packing, simhash, substring, token_counts, tokenfile
-from quoteverify.llm.tokens import tokenizer_path
+from quoteverify.llm.tokens import encoder, tokenizer_path
 
 from .conftest import SPACE, words_of
 
@@ -20,7 +21,6 @@ LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
 def plain_ids(name, rows, end):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [(i, np.array(t.encode(x or "", add_special_tokens=False).ids + [end], "<u4")) for i, x in rows]
 
 
@@ -50,6 +50,14 @@ def test_packing(make_docs, corpus_rows, size):
     assert len(by) <= -(-total // size) * 11 / 9 + 1
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_read_as_the_library_does(name):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|EndOfText|>b", "x <|startoftext|>", "<|", "a <| endoftext|>", " <|endoftext|> <|endoftext|>", "plain", "", "it <|endoftext|"]
+    t = Tokenizer.from_file(tokenizer_path(name))
+    ids, starts = encoder(tokenizer_path(name)).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_plan_places_each_count_once_and_best_fit():
     draw = np.random.default_rng(4)
     for _ in range(30):
