@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,16 +31,25 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(target)
 
 
-def held(rows: DataFrame, name: str = "held") -> DataFrame:
-    """rows as a table in the folder that ``spark.checkpoint.dir`` names, for what more than one branch of a plan reads. Plans
-    end there, so they stay small, and a lost executor costs no more than its tasks. The folder is a temporary one only
-    where none is set; the table goes when the session's JVM ends."""
-    context = rows.sparkSession.sparkContext
+def work_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all machines share. Only a session that runs on this machine
+    alone (as in tests) may leave it unset: it gets a temporary one. On a cluster that would be a folder which other
+    machines don't see, so there it is an error."""
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quoteverify-")
         context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def held(rows: DataFrame, name: str = "held") -> DataFrame:
+    """rows as a table in the shared work folder, for what more than one branch of a plan reads. Plans end there, so they
+    stay small, and a lost executor costs no more than its tasks. The table goes when the session's JVM ends."""
+    context = rows.sparkSession.sparkContext
+    path = f"{work_folder(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     rows.write.parquet(path)
