@@ -1,10 +1,15 @@
-"""Exchange of counted or shared keys between blocks of documents and shards of keys.
+"""Sums by key over a whole corpus, with answers to those who asked.
 
 Word and window keys of a corpus are far more numerous than its documents, and one row for each would cost more than
-all else. So documents are packed into blocks of bounded text; a block sends each shard one message with its distinct
-keys of that shard, sorted and coded by their gaps; a shard answers each message in the message's order, without the
-keys. What is frequent in a block is sent once, so a key that every document has is no more than one entry of each
-block. Blocks and shards hold bounded data whatever the corpus: their numbers grow with it.
+all else. So documents are packed into blocks of bounded text; a block sends its distinct keys with their counts, sorted
+and coded by their gaps, cut into as many messages as a level of the exchange has ranges of keys (``FAN``); and each range
+answers every message in the message's order, without the keys. What is frequent in a block is sent once, so a key that
+every document has is no more than one entry of each block.
+
+Ranges of one level may still hold far more than a task can. Then the messages of a range are joined to bundles of bounded
+size, which ask the next level as blocks ask the first, and hand the answers on. A level has FAN messages for each block or
+bundle, whatever the size of the corpus, and a corpus FAN times as large takes one level more: work and messages grow as
+D log D. Blocks, bundles and the shards of the last level hold bounded data whatever the corpus; their numbers grow with it.
 """
 
 from __future__ import annotations
@@ -14,23 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, slices, texts_of, written
+from .common import drop_table, parallelism, slices, texts_of, written
 from .tokenfile import decode_numbers, encode_numbers
 
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Text bytes of the corpus for each shard.
 SHARD_BYTES = 8 << 20
+#: Ranges of keys that a level of the exchange tells apart (a power of two), and the bytes of messages in a bundle.
+FAN, BUNDLE_BYTES = 256, 16 << 20
 BLOCKS = "block long, docs int, size long, doc_ids binary, ends binary, text binary"
 
 
-def make_blocks(docs: DataFrame, ordered: bool = False) -> DataFrame:
-    """A table of blocks (block, docs, size, doc_ids, ends, text). ``ordered``: block numbers and the documents in a
-    block ascend by doc_id, and rows that share a doc_id stay in one block."""
-    spark = docs.sparkSession
-    rows = texts_of(docs)
-    if ordered:
-        rows = rows.repartitionByRange(max(2, parallelism(spark)), "doc_id").sortWithinPartitions("doc_id", "text")
+def make_blocks(docs: DataFrame) -> DataFrame:
+    """A table of blocks (block, docs, size, doc_ids, ends, text); a block holds documents in no order."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -48,22 +50,14 @@ def make_blocks(docs: DataFrame, ordered: bool = False) -> DataFrame:
             starts = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             data = memoryview(text.buffers()[2])[starts[0] : starts[-1]] if starts[-1] > starts[0] else b""
             if held and size + len(data) > BLOCK_BYTES:
-                same = 0
-                if ordered:  # rows of the last document go on
-                    same = int(np.searchsorted(ids, held[-1][0][-1], side="right"))
-                    if same:
-                        held.append((ids[:same], np.diff(starts[: same + 1]), bytes(data[: starts[same] - starts[0]])))
-                if same < len(ids):
-                    yield flush()
-                    number, held, size = number + 1, [], 0
-                ids, data, starts = ids[same:], data[starts[same] - starts[0] :], starts[same:]
-            if len(ids):
-                held.append((ids, np.diff(starts), bytes(data)))
-                size += len(data)
+                yield flush()
+                number, held, size = number + 1, [], 0
+            held.append((ids, np.diff(starts), bytes(data)))
+            size += len(data)
         if held:
             yield flush()
 
-    return written(rows.mapInArrow(run, BLOCKS), "blocks")
+    return written(texts_of(docs).mapInArrow(run, BLOCKS), "blocks")
 
 
 def block_texts(doc_ids, ends, text) -> tuple[np.ndarray, pa.Array]:
@@ -105,16 +99,6 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
     return out
 
 
-def shard_edges(shards: int) -> np.ndarray:
-    """First key of each shard: shards are ranges of the 64-bit keys."""
-    return np.array([(i << 64) // shards for i in range(shards)], dtype=np.uint64)
-
-
-def cut_by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Places at which sorted keys pass from shard to shard (shards + 1 of them)."""
-    return np.append(np.searchsorted(keys, shard_edges(shards)), len(keys))
-
-
 def pack_numbers(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned 32-bit numbers as bytes."""
     out = [np.array([len(arrays)] + [len(a) for a in arrays], "<i4").tobytes()]
@@ -136,11 +120,11 @@ def unpack_numbers(content) -> list[np.ndarray]:
     return out
 
 
-def pack_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
-    """Sorted unsigned keys of at most ``bits`` bits as their gaps, in parts of 32 bits."""
+def pack_keys(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted unsigned keys as their gaps, in one part of 32 bits, or two where gaps are wider."""
     gaps = np.diff(keys, prepend=np.uint64(0))
-    low = (gaps & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return (low,) if bits <= 32 else (low, (gaps >> np.uint64(32)).astype(np.uint32))
+    low, high = (gaps & np.uint64(0xFFFFFFFF)).astype(np.uint32), (gaps >> np.uint64(32)).astype(np.uint32)
+    return (low, high) if high.any() else (low,)
 
 
 def unpack_keys(parts) -> np.ndarray:
@@ -150,51 +134,158 @@ def unpack_keys(parts) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def by_block(answers: DataFrame) -> DataFrame:
-    """Each block's answers as one array, in the order of shards: a block has no more than one of each kind and shard."""
-    return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kind", "shard", "payload"))).alias("answers"))
+def pack_message(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return pack_numbers(counts.astype(np.uint32), *pack_keys(keys))
+
+
+def unpack_message(payload) -> tuple[np.ndarray, np.ndarray]:
+    counts, *parts = unpack_numbers(payload)
+    return unpack_keys(parts), counts.astype(np.int64)
+
+
+def pack_sums(sums: np.ndarray) -> bytes:
+    return pack_numbers(*pack_wide(sums.astype(np.uint64)))
+
+
+def pack_wide(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    low, high = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+    return (low, high) if high.any() else (low,)
+
+
+def unpack_sums(payload) -> np.ndarray:
+    parts = unpack_numbers(payload)
+    out = parts[0].astype(np.int64)
+    return out | parts[1].astype(np.int64) << 32 if len(parts) > 1 else out
+
+
+def pack_flags(sums: np.ndarray) -> bytes:
+    """For each key only whether its sum is over one."""
+    return np.array([len(sums)], "<i4").tobytes() + np.packbits(sums > 1).tobytes()
+
+
+def unpack_flags(payload) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(payload, np.uint8, -1, 4), count=int(np.frombuffer(payload, "<i4", 1)[0])).astype(np.int64) + 1
 
 
-def map_blocks(blocks: DataFrame, each, schema: str, answers: DataFrame | None = None) -> DataFrame:
-    """``each(block, doc_ids, texts, answers)`` yields Arrow batches of ``schema`` for each block; answers: a list of
-    (kind, shard, payload)."""
-    joined = answers is not None
-    if joined:
-        blocks = blocks.join(by_block(answers), "block", "left")
+def by_block(answers: DataFrame, name: str) -> DataFrame:
+    """Each block's answers as one array in the order of the keys' ranges: FAN at most."""
+    return answers.where("block >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "payload"))).alias(name))
+
+
+def map_rows(rows: DataFrame, each, schema: str, *answers: DataFrame, flags: bool = False) -> DataFrame:
+    """``each(row, *sums)`` yields Arrow batches of ``schema`` for each row (of blocks or bundles); sums: for each table of
+    answers those of the keys that the row asked for, in their order (with ``flags`` two stands for more than one)."""
+    names = [f"answers{k}" for k in range(len(answers))]
+    for name, table in zip(names, answers):
+        rows = rows.join(by_block(table, name), "block", "left")
+    unpack = unpack_flags if flags else unpack_sums
+
+    def sums(found) -> np.ndarray:
+        got = [unpack(a["payload"].as_buffer()) for a in found.values] if found.is_valid else []
+        return np.concatenate(got) if got else np.zeros(0, np.int64)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                ids, texts = block_texts(row["doc_ids"], row["ends"], row["text"])
-                got = [(a["kind"].as_py(), a["shard"].as_py(), a["payload"].as_buffer()) for a in row["answers"].values] if joined and row["answers"].is_valid else []
-                yield from each(row["block"].as_py(), ids, texts, got)
+                yield from each(row, *(sums(row[name]) for name in names))
+
+    return rows.mapInArrow(run, schema)
+
 
-    return blocks.mapInArrow(run, schema)
+def map_blocks(blocks: DataFrame, each, schema: str, *answers: DataFrame, flags: bool = False) -> DataFrame:
+    """``each(block, doc_ids, texts, *sums)``, otherwise as ``map_rows``."""
+    return map_rows(blocks, lambda row, *sums: each(row["block"].as_py(), *block_texts(row["doc_ids"], row["ends"], row["text"]), *sums), schema, *answers, flags=flags)
 
 
-MESSAGES = "shard int, block long, payload binary"
+MESSAGES = "part long, block long, payload binary"
+ANSWERS = "part long, block long, payload binary, stat long"
+BUNDLES = "block long, part long, blocks binary, ends binary, payload binary"
 
 
-def messages(block: int, payloads: dict[int, bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(payloads), pa.int32()), pa.array([block] * len(payloads), pa.int64()), pa.array(list(payloads.values()), pa.binary())], ["shard", "block", "payload"])
+def exchange(rows: DataFrame, ask, shards: int, bits: int = 64, flags: bool = False, stat=None, done: int = 0) -> DataFrame:
+    """A table of answers (ANSWERS) to all rows, for ``map_rows``. ``ask(row)``: the row's distinct keys of at most ``bits``
+    bits, sorted, and their counts. ``stat(keys, sums)``: a number that each shard adds to column stat, in rows of block -1.
+    ``done``: leading bits that levels before have told apart."""
+    depth = max(1, (shards - 1).bit_length())
+    level = min(done + FAN.bit_length() - 1, depth)
+    shift = np.uint64(bits - level)
 
+    def send(row):
+        keys, counts = ask(row)
+        if not len(keys):
+            return
+        part = keys >> shift
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        payloads = [pack_message(keys[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int64)), pa.array([row["block"].as_py()] * len(payloads), pa.int64()), pa.array(payloads, pa.binary())], ["part", "block", "payload"])
 
-ANSWERS = "kind int, shard int, block long, payload binary"
+    sent = map_rows(rows, send, MESSAGES)
+    pack = pack_flags if flags else pack_sums
+    if level == depth:
+
+        def total(found: pa.Table) -> pa.Table:
+            part, blocks = found["part"][0].as_py(), found["block"].to_pylist()
+            asked = [unpack_message(x.as_buffer()) for x in found["payload"]]
+            keys, place, sums = summed(asked)
+            ends = np.cumsum([len(k) for k, _ in asked])
+            payloads = [pack(sums[x]) for x in np.split(place, ends[:-1])]
+            pa.default_memory_pool().release_unused()
+            stats = [None] * len(blocks) + [stat(keys, sums) if stat else 0]
+            return pa.table([pa.array([part] * (len(blocks) + 1)), pa.array([*blocks, -1], pa.int64()), pa.array([*payloads, b""], pa.binary()), pa.array(stats, pa.int64())], ["part", "block", "payload", "stat"])
+
+        return written(sent.groupBy("part").applyInArrow(total, ANSWERS), "answers")
+
+    def bundle(batches):
+        from pyspark import TaskContext
 
+        task, number, part, blocks, held, size = TaskContext.get().partitionId(), 0, None, [], [], 0
 
-def answer_rows(kind: int, shard: int, blocks, payloads) -> pa.Table:
-    n = len(payloads)
-    return pa.table([pa.array([kind] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(blocks, pa.int64()), pa.array(payloads, pa.binary())], ["kind", "shard", "block", "payload"])
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([part]), *(pa.array([x], pa.binary()) for x in (np.array(blocks, np.int64).tobytes(), np.cumsum([len(x) for x in held]).tobytes(), b"".join(held)))], ["block", "part", "blocks", "ends", "payload"])
+
+        for batch in batches:
+            for to, block, payload in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                if held and (to != part or size + len(payload) > BUNDLE_BYTES):
+                    yield flush()
+                    number, blocks, held, size = number + 1, [], [], 0
+                part, size = to, size + len(payload)
+                blocks.append(block)
+                held.append(payload)
+        if held:
+            yield flush()
+
+    parts = max(parallelism(rows.sparkSession), shards // 4)
+    bundles = written(sent.repartition(parts, "part", F.pmod(F.xxhash64("block"), F.lit(max(1, parts >> level)))).sortWithinPartitions("part", "block").mapInArrow(bundle, BUNDLES), "bundles")
+
+    def messages(row):
+        ends = np.frombuffer(row["ends"].as_buffer(), np.int64)
+        content = row["payload"].as_buffer()
+        return [unpack_message(content.slice(a, b - a)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def ask_next(row):
+        keys, _, sums = summed(messages(row))
+        return keys, sums
+
+    def hand_on(row, sums):
+        asked = messages(row)
+        keys, place, _ = summed(asked)
+        payloads = [pack(sums[x]) for x in np.split(place, np.cumsum([len(k) for k, _ in asked])[:-1])]
+        blocks = np.frombuffer(row["blocks"].as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([row["part"].as_py()] * len(blocks)), pa.array(blocks), pa.array(payloads, pa.binary()), pa.nulls(len(blocks), pa.int64())], ["part", "block", "payload", "stat"])
+
+    answers = exchange(bundles, ask_next, shards, bits, flags, stat, level)
+    out = written(map_rows(bundles, hand_on, ANSWERS, answers, flags=flags).unionByName(answers.where("block < 0")), "answers")
+    drop_table(bundles)
+    drop_table(answers)
+    return out
 
 
-def answered(sent: DataFrame, each, name: str) -> DataFrame:
-    """``each(shard, blocks, payloads)`` gives the answers' table (ANSWERS) to all messages of a shard; a table of them."""
+def summed(asked: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of several messages, the place of each message's keys among them, and the keys' sums."""
+    keys, place = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+    return keys, place, np.bincount(place, weights=np.concatenate([c for _, c in asked]), minlength=len(keys)).astype(np.int64)
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("block").combine_chunks()
-        out = each(rows["shard"][0].as_py(), rows["block"].to_pylist(), [x.as_buffer() for x in rows["payload"]])
-        pa.default_memory_pool().release_unused()
-        return out
 
-    return written(sent.groupBy("shard").applyInArrow(run, ANSWERS), name)
+def stat_of(answers: DataFrame) -> int:
+    return answers.agg(F.sum("stat")).head()[0] or 0

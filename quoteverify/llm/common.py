@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -11,20 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteverify.session import ship
+from quoteverify.session import ship, work_folder
 
 #: Text bytes that a Python worker handles at once, and that Arrow passes at once; a longer single text is still taken whole.
 SLICE_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all machines share; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="llm-work-")
-        sc.setCheckpointDir(path)
-    return path
+    """The folder in ``spark.checkpoint.dir``, which all machines share (``quoteverify.session.work_folder``)."""
+    return work_folder(spark)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -47,7 +41,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = work_path(spark, name)
     with shuffles_dropped(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def drop_table(table: DataFrame) -> None:
+    """Removes a table of ``written`` that nothing reads any more."""
+    drop_path(table.sparkSession, table.work_path)
 
 
 @contextmanager

@@ -137,38 +137,80 @@ def test_shared_trie_against_plain_programming():
     assert counter.lookup(words).tolist() == counter.lookup(words).tolist()
 
 
-def test_language_model(make_docs, corpus_rows):
-    rows = lm.lm_scores(make_docs(corpus_rows)).collect()
-    tokens = [(i, SPACE.findall((t or "").translate(LOW)) + ["\n"], zlib.crc32(str(i).encode()) % 10 == 0) for i, t in corpus_rows]
-    one, two, starts = Counter(), Counter(), 0
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model(make_docs, corpus_rows, monkeypatch, small):
+    if small:
+        from quoteverify.llm import blocks
+
+        for name, value in (("SHARD_BYTES", 4000), ("FAN", 4), ("BUNDLE_BYTES", 3000)):
+            monkeypatch.setattr(blocks, name, value)
+        monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    least = 3
+    rows = lm.lm_scores(make_docs(corpus_rows), least).collect()
+    tokens = [(i, ["\t", *SPACE.findall((t or "").translate(LOW)), "\n"], zlib.crc32(str(i).encode()) % 10 == 0) for i, t in corpus_rows]
+    one, two, three = Counter(), Counter(), Counter()
     for _, ts, held in tokens:
         if not held:
             one.update(ts)
-            two.update(zip(["\t", *ts], ts))
-            starts += 1
+            two.update(zip(ts, ts[1:]))
+            three.update(zip(ts, ts[1:], ts[2:]))
+    starts = one.pop("\t")
     n, v = sum(one.values()), len(one)
     room = n + 0.1 * (v + 1)
-    m = rows[0].strength
+    m, m3 = rows[0].pair_strength, rows[0].triple_strength
     context = lambda w: starts if w == "\t" else one[w]
+    p1 = lambda w: (one[w] + 0.1) / room
+    p2 = lambda a, w: (two[a, w] + m * p1(w)) / (context(a) + m)
+    p3 = lambda z, a, w: (three[z, a, w] + m3 * p2(a, w)) / (two[z, a] + m3) if two[z, a] >= least else p2(a, w)
     expected = Counter()
     for i, ts, held in tokens:
-        base = sum(math.log10((one[w] + 0.1) / room) for w in ts)
-        score = sum(math.log10((two[a, w] + m * (one[w] + 0.1) / room) / (context(a) + m)) for a, w in zip(["\t", *ts], ts))
-        expected[i, held, len(ts), sum(one[w] > 0 for w in ts), n, round(base, 6), round(score, 6)] += 1
+        base = sum(math.log10(p1(w)) for w in ts[1:])
+        score = math.log10(p2(*ts[:2])) + sum(math.log10(p3(*x)) for x in zip(ts, ts[1:], ts[2:]))
+        expected[i, held, len(ts) - 1, sum(one[w] > 0 for w in ts[1:]), n, round(base, 6), round(score, 6)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in rows) == expected
+    assert sum(c >= least for c in two.values()) > 50 and sum(r.score > r.base_score for r in rows) > len(rows) / 2
     # after any context the words' chances and that of all unknown words sum to one
-    for a in ["\t", *list(one)[:5]]:
-        p = lambda w: (two[a, w] + m * (one[w] + 0.1) / room) / (context(a) + m)  # noqa: B023, E731
-        assert sum(p(w) for w in one) + m * 0.1 / room / (context(a) + m) == pytest.approx(1)
+    for z, a in [*list(two)[:3], *[x for x, c in two.items() if c >= least and x[1] != "\n"][:5]]:
+        unknown = m * 0.1 / room / (context(a) + m) * (m3 / (two[z, a] + m3) if two[z, a] >= least else 1)
+        assert sum(p3(z, a, w) for w in one) + unknown == pytest.approx(1)
+    # strengths have the greatest leave-one-out likelihood of their grids
+    q1 = lambda w: (one[w] - 1 + 0.1) / (room - 1)
+    q2 = lambda a, w, m: (two[a, w] - 1 + m * q1(w)) / (context(a) - 1 + m)
+    assert m == max(lm.PAIR_STRENGTHS, key=lambda x: sum(c * math.log10(q2(a, w, x)) for (a, w), c in two.items()))
+    q3 = lambda z, a, w, x: (three[z, a, w] - 1 + x * q2(a, w, m)) / (two[z, a] - 1 + x)
+    assert m3 == max(lm.TRIPLE_STRENGTHS, key=lambda x: sum(c * math.log10(q3(*t, x)) for t, c in three.items() if two[t[:2]] >= least))
+
+
+def test_language_model_without_training(make_docs):
     assert lm.lm_scores(make_docs([])).count() == 0
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = lm.lm_scores(make_docs([(i, "some text") for i in held])).collect()
+    assert {(r.n_known, r.train_tokens, round(r.score, 9)) for r in rows} == {(0, 0, 0.0)}
 
 
-def test_automaton_walks_like_the_formula():
-    size, counts = 3, np.array([4, 2, 0])
-    pairs, pair_counts, root = np.array([1, 3]), np.array([3, 0]), np.array([0.5, 0.3, 0.2])
-    a = lm.BackoffAutomaton(size, counts, pairs, pair_counts, root, 2.0)
-    got = 10 ** a.traverse(np.array([0, 0, 1, 2]), np.array([1, 2, 0, 1]))
-    assert got == pytest.approx([(3 + 2 * 0.3) / 6, 2 * 0.2 / 6, 2 * 0.5 / 4, 0.3])
+def test_parts_of_a_long_text_are_walked_as_one(monkeypatch):
+    draw = np.random.default_rng(2)
+    size = 5
+    tokens = np.minimum(draw.geometric(0.4, 3000) - 1, size - 1)
+    pairs, pair_of = np.unique(tokens[:-1] * size + tokens[1:], return_inverse=True)
+    triples, place = np.unique(pair_of[:-1] * size + tokens[2:], return_inverse=True)
+    pair_counts, triple_counts = np.bincount(pair_of) * (draw.random(len(pairs)) < 0.7), np.bincount(place) * (draw.random(len(triples)) < 0.7)
+    below = np.searchsorted(pairs, pairs[triples // size] % size * size + triples % size)
+    triple_counts *= (pair_counts[triples // size] >= 20) & (pair_counts[below] > 0)
+    counts = np.bincount(tokens, minlength=size)
+    root = counts / counts.sum()
+    a = lm.BackoffAutomaton(root, counts, pairs, pair_counts, triples, triple_counts, 4.0, np.array([1.0, 16.0]), 20)
+    begins, lengths = np.array([0, 100, 150]), np.array([2990, 1, 700])
+    whole = []
+    for begin, n in zip(begins, lengths):
+        state, total = np.array([2]), np.zeros(2)
+        for w in tokens[begin : begin + n]:
+            state, weight = a.step(state, np.array([w]))
+            total += weight[0]
+        whole.append(total)
+    for steps in (3, 64, 100_000):
+        monkeypatch.setattr(lm, "STEPS", steps)
+        assert np.allclose(a.walk(tokens, begins, lengths, 2), whole)
 
 
 def plain_fingerprint(text):
@@ -254,11 +296,17 @@ def plain_removed(rows, window=13):
     return out
 
 
-@pytest.mark.parametrize("block", [1500, 4 << 20])
-def test_substring_dedup(make_docs, corpus_rows, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(1500, 24 << 20), (4 << 20, 24 << 20), (3000, 500)])
+def test_substring_dedup(make_docs, corpus_rows, monkeypatch, block, hot):
+    """Blocks of one and of many documents; shards that hold too much; ranges that take more than one level."""
     from quoteverify.llm import blocks
 
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring, "HOT_BYTES", hot)
+    if hot < 1000:
+        monkeypatch.setattr(blocks, "SHARD_BYTES", 4000)
+        monkeypatch.setattr(blocks, "FAN", 4)
+        monkeypatch.setattr(blocks, "BUNDLE_BYTES", 3000)
     got = substring.removal_digests(make_docs(corpus_rows)).collect()
     expected = Counter((i, len(ws), sum(gone), hashlib.sha256(" ".join(w for w, g in zip(ws, gone) if not g).encode()).hexdigest()) for i, ws, gone in plain_removed(corpus_rows))
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == expected
@@ -276,18 +324,46 @@ def test_cut_texts_keep_rows_and_columns(make_docs, corpus_rows):
     assert Counter((r.doc_id, r.text) for r in rows) == texts and all(r.n_chars == len(r.text or "") for r in rows)
 
 
-def test_fm_index_finds_what_is_there():
+def test_matching_statistics_against_every_window():
     draw = np.random.default_rng(6)
-    segments = [draw.integers(1, 5, int(draw.integers(4, 30))) for _ in range(40)]
-    symbols, lengths = np.concatenate(segments), np.array([len(s) for s in segments])
-    starts, order = np.cumsum(lengths) - lengths, draw.integers(0, 1000, 40)
-    index = substring.FmIndex(symbols, starts, lengths, order, 8)
-    asked = [draw.integers(1, 5, int(draw.integers(1, 9))) for _ in range(300)]
-    at = np.cumsum([0] + [len(a) for a in asked])[:-1]
-    holds = lambda s, a: any((s[k : k + len(a)] == a).all() for k in range(len(s) - len(a) + 1))
-    expected = [min((int(o) for s, o in zip(segments, order) if holds(s, a)), default=np.iinfo(np.int64).max) for a in asked]
-    text = np.concatenate(asked)
-    assert index.search(text, at, np.array([len(a) for a in asked])).tolist() == expected
+    for _ in range(30):
+        window = int(draw.integers(2, 14))
+        segments = [draw.integers(0, int(draw.integers(1, 6)), int(draw.integers(window, window + 25))) for _ in range(int(draw.integers(1, 40)))]
+        symbols = np.unique(np.concatenate(segments), return_inverse=True)[1]
+        lengths = np.array([len(s) for s in segments])
+        starts, owners = np.cumsum(lengths) - lengths, draw.integers(0, 1000, len(lengths))
+        segments = [symbols[a : a + n] for a, n in zip(starts, lengths)]
+        least = {}
+        for s, o in zip(segments, owners.tolist()):
+            for k in range(len(s) - window + 1):
+                key = tuple(s[k : k + window])
+                least[key] = min(least.get(key, o), o)
+        asked = [draw.integers(0, symbols.max() + 1, int(draw.integers(window, window + 20))) for _ in range(20)] + segments
+        length = np.array([len(x) for x in asked])
+        got = substring.FmIndex(symbols, starts, lengths, owners, window).windows(np.concatenate(asked), np.cumsum(length) - length, length)
+        assert got.tolist() == [least.get(tuple(x[k : k + window]), np.iinfo(np.int64).max) for x in asked for k in range(len(x) - window + 1)]
+
+
+def test_the_wavelet_tree_takes_about_the_entropy():
+    draw = np.random.default_rng(1)
+    symbols = np.minimum(draw.geometric(0.2, 50_000) - 1, 40)
+    order = np.argsort(-np.bincount(symbols), kind="stable")
+    symbols = np.argsort(order)[symbols]
+    tree = substring.WaveletTree(symbols, int(symbols.max()) + 1)
+    share = np.bincount(symbols) / len(symbols)
+    assert tree.length[symbols].sum() < len(symbols) * (1 - (share * np.log2(np.maximum(share, 1e-12))).sum())
+    at, asked = draw.integers(0, len(symbols) + 1, 200), draw.integers(0, symbols.max() + 1, 200)
+    assert tree.rank(asked, at).tolist() == [int((symbols[:a] == c).sum()) for a, c in zip(at, asked)]
+
+
+def test_removal_comes_from_the_index_alone(monkeypatch):
+    """What the index doesn't find stays, copies of a whole segment included."""
+    words = np.arange(20, dtype="<u8").tobytes()
+    rows = pa.table({"shard": [0], "words": pa.array([words], pa.binary()), "first": [3], "last": [9]})
+    [owners] = substring._search(rows, 13)["owners"].to_pylist()
+    assert np.frombuffer(owners, "<i8").tolist() == [3] * 8
+    monkeypatch.setattr(substring.FmIndex, "step", lambda self, symbol, low, high: (low, low))
+    assert substring._search(rows, 13).num_rows == 0
 
 
 def test_decontamination(spark, make_docs):
