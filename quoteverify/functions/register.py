@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import pandas_udf
 
 from quoteverify.functions.fuzzy import partial_ratio, ratio
 from quoteverify.functions.normalize import plain
 from quoteverify.operators import locate
 from quoteverify.operators.cards import HtmlCards
-from quoteverify.operators.segment import Pieces
+from quoteverify.operators.segment import pieces_of
 from quoteverify.session import ship
 
 
-def register(spark: SparkSession) -> None:
+def register(spark: SparkSession, posts: DataFrame | None = None) -> None:
     """normalize_text and normalize_latin (text), fuzz_ratio and partial_ratio (a, b), align_words (words, window), and the table
-    functions pieces (post) and html_cards (html)."""
+    function html_cards (html). With posts (post, text) also a temporary view pieces (post, seg_no, text, marked, as_quran,
+    bare_intro) of them."""
     ship(spark)
 
     def each(f):
@@ -30,5 +31,6 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("fuzz_ratio", each(ratio))
     spark.udf.register("partial_ratio", each(partial_ratio))
     spark.udf.register("align_words", pandas_udf(locate._align, locate.ALIGNED))
-    spark.udtf.register("pieces", Pieces)
+    if posts is not None:
+        pieces_of(posts).createOrReplaceTempView("pieces")
     spark.udtf.register("html_cards", HtmlCards)

@@ -154,11 +154,39 @@ def test_gradings(spark):
     assert {g: one(spark, verdict.grade_rating, g) for g in labels} == labels
 
 
-def test_pieces():
-    assert list(segment.split_post("رواه البخاري\nقال ﷺ: «لا تغضب يا رجل» (رواه البخاري ومسلم)")) == [("لا تغضب يا رجل", True, False)]
-    assert list(segment.split_post("قال تعالى: ﴿إن مع العسر يسرا﴾ وقال ﷺ: «من غشنا فليس منا»")) == [("إن مع العسر يسرا", False, True), ("من غشنا فليس منا", True, False)]
-    assert list(segment.split_post("قال رسول الله ﷺ:")) == [("", True, False)]
-    assert list(segment.split_post("")) == []
+PIECES = {
+    "رواه البخاري\nقال ﷺ: «لا تغضب يا رجل» (رواه البخاري ومسلم)": [("لا تغضب يا رجل", True, False)],
+    "قال تعالى: ﴿إن مع العسر يسرا﴾ وقال ﷺ: «من غشنا فليس منا»": [("إن مع العسر يسرا", False, True), ("من غشنا فليس منا", True, False)],
+    "قال رسول الله ﷺ:": [("", True, False)],
+    "": [], " \n؟": [],
+    "كلام «نص أول هنا» ثم «نص ثان هنا»": [("نص أول هنا", False, False), ("نص ثان هنا", False, False)],
+    "قال ﷺ «نص أول هنا» «نص ثان هنا»": [("نص أول هنا", True, False), ("نص ثان هنا", True, False)],
+    "«من رسول الله ﷺ: «حسن إسلام المرء»": [("حسن إسلام المرء", True, False)],
+    "قال ﷺ (صلى الله عليه وسلم) «نص من كلمات» [45]": [("نص من كلمات", True, False)],
+    "عن أبي هريرة (رضي الله عنه) أن النبي ﷺ قال:": [("", True, False)],
+    "عن أبي هريرة رضي الله عنه أن رسول الله ﷺ قال لا تغضب رواه مسلم": [("لا تغضب", True, False)],
+    "قال الله تعالى: إن مع العسر يسرا": [("إن مع العسر يسرا", False, True)],
+    "﴿اً كتاب أنزل﴾": [("كتاب أنزل", False, True)],
+    "«كلمة» وحدها": [("كلمة» وحدها", False, False)],
+    "صباح الخير. كيف الحال؟": [("صباح الخير", False, False), ("كيف الحال", False, False)],
+}
+
+
+def test_pieces(spark):
+    got = {r.t: [tuple(p) for p in r.p] for r in spark.createDataFrame([(t,) for t in PIECES], "t string").select("t", segment.pieces(F.col("t")).alias("p")).collect()}
+    assert got == PIECES
+
+
+def test_introductions_mark_the_piece_after_them(spark):
+    posts = {
+        1: ("قال رسول الله ﷺ:\nإنما الأعمال بالنيات\nكلام آخر", [("إنما الأعمال بالنيات", True, False, False), ("كلام آخر", False, False, False)]),
+        2: ("قال تعالى:\nإن مع العسر يسرا\nكلام آخر", [("إن مع العسر يسرا", False, True, False), ("كلام آخر", False, False, False)]),
+        3: ("قال رسول الله صلى الله عليه وسلم\nقال النبي ﷺ:\nنص الحديث هنا", [("نص الحديث هنا", True, False, False)]),
+        4: ("قال رسول الله ﷺ:", []), 5: (None, []),
+    }
+    rows = segment.pieces_of(spark.createDataFrame([(k, t) for k, (t, _) in posts.items()], "post int, text string")).collect()
+    for k, (_, expected) in posts.items():
+        assert [tuple(r)[2:] for r in sorted(rows, key=lambda r: r.seg_no) if r.post == k] == expected, k
 
 
 def test_ablation_and_generators(spark, collection, engine):

@@ -138,8 +138,13 @@ def test_readings(spark):
     pairs = spark.createDataFrame([("واستعينوا", "بالصبر"), ("بالصبر", "والصلاه")], "w1 string, w2 string")
     c = readings.chains(spark.createDataFrame([(1, "واستعينوا بالصبر والصلاة من واستعينوا بالصبر")], "reading int, text string"), pairs).head()
     assert (c.pairs, c.longest, c.repeats) == (3, 2, 1)
-    assert readings.join_lines("قال تعالى\n﴿نص\nتكملة﴾\nجديد") == "قال تعالى\n﴿نص تكملة﴾\nجديد"
-    assert readings.tidy_model_text("```\nلا\nيؤمن أحدكم. SITE.COM\n```") == "لا يؤمن أحدكم."
+    tidy = {
+        "قال تعالى\n﴿نص\nتكملة﴾\nجديد": "قال تعالى\n﴿نص تكملة﴾\nجديد", "أول  سطر\nتكملته\n\nفقرة\nأخرى": "أول سطر تكملته\nفقرة أخرى",
+        "«مفتوح\nقال نعم\nرواه مسلم»\nقال آخر\nعن فلان": "«مفتوح قال نعم رواه مسلم»\nقال آخر\nعن فلان", "نهاية.\nبداية": "نهاية.\nبداية", "": "", " \n \n\n": "", "واحد": "واحد",
+    }
+    assert {r.t: r.x for r in spark.createDataFrame([(t,) for t in tidy], "t string").select("t", readings.joined_lines(F.col("t")).alias("x")).collect()} == tidy
+    bare = {"```\nلا\nيؤمن أحدكم. SITE.COM\n```": "لا يؤمن أحدكم.", "```text\nنص:\nآخر\r\nثالث@x\n": "نص:\nآخر", "": "", "قال\n\nنعم": "قال نعم"}
+    assert {r.t: r.x for r in spark.createDataFrame([(t,) for t in bare], "t string").select("t", readings.tidied(F.col("t")).alias("x")).collect()} == bare
     done = readings.cleaned(spark.createDataFrame([(1, 0, "إواستعينوا xx ” من غغ")], "reading int, line_no int, text string"), vocab).head()
     assert done.text == "واستعينوا ” من"
     engines = spark.createDataFrame([("x 429",), ("HTTP 503",), ("404",), ("boom",), (None,)], "e string").select(readings.engine_problem(F.col("e")).alias("k")).collect()
@@ -228,10 +233,10 @@ def test_queries_match_their_sql(spark, sf_dir):
 def test_registered_functions(spark):
     from quoteverify.functions.register import register
 
-    register(spark)
+    register(spark, spark.createDataFrame([(1, "قال ﷺ: «من غشنا فليس منا»")], "post int, text string"))
     r = spark.sql("SELECT normalize_text('إنّ') a, normalize_latin('It''s X') b, fuzz_ratio('abc', 'abd') c, partial_ratio('b', 'abc') d").head()
     assert (r.a, r.b, round(r.c, 3), r.d) == ("ان", "it s x", 66.667, 100.0)
-    assert [x.text for x in spark.sql("SELECT * FROM pieces('قال ﷺ: «من غشنا فليس منا»')").collect()] == ["من غشنا فليس منا"]
+    assert [x.text for x in spark.sql("SELECT * FROM pieces").collect()] == ["من غشنا فليس منا"]
     assert spark.sql("SELECT * FROM html_cards('<div class=hadith>a</div><div class=hadith-info></div>')").head().text == "a"
 
 
