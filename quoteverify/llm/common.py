@@ -72,12 +72,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, as rows can be long; a smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text string): only what the operators need, so other columns never clash. A null text is
     empty; rows without a key can't be reported and take no part. Arrow batches of the session are bounded by bytes, as
     texts can be long."""
     ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
 
@@ -89,12 +97,12 @@ def text_array(column: pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def slices(batches, size: int = SLICE_BYTES):
+def slices(batches, size: int = SLICE_BYTES, column: str = "text"):
     """Arrow batches cut so that each holds about ``size`` bytes of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        text = batch.column("text")
+        text = batch.column(column)
         ends = np.frombuffer(text.buffers()[1], dtype=np.int32 if pa.types.is_string(text.type) or pa.types.is_binary(text.type) else np.int64)[text.offset : text.offset + len(text) + 1].astype(np.int64)
         if ends[-1] - ends[0] <= size:
             yield batch

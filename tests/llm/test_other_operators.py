@@ -27,6 +27,48 @@ def test_main_text(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+BODY = "<p>" + "The first paragraph of the story. " * 4 + "</p><p>And a second one with its own words.</p>"
+TAIL = "And these are the last words of it all."
+WORDS = [("The first paragraph of the story. " * 4).strip(), "And a second one with its own words."]
+ODD = {
+    "no head end": (f"<html><head><title>t</title><meta charset=x><body><nav><a>Home</a></nav>{BODY}", WORDS),
+    "no head end, no body": (f"<head><title>t</title><link rel=x>{BODY}", WORDS),
+    "text ends the head": ("<head><title>t</title>Words that come at once and go on.", ["Words that come at once and go on."]),
+    "discussion": (f'<section id="discussion">{BODY}</section>', WORDS),
+    "side by side": (f'<p class="side-by-side">Both of them.</p>{BODY}', ["Both of them.", *WORDS]),
+    "hidden in a title": (f'{BODY}<p title="a hidden gem">A gem.</p>', [*WORDS, "A gem."]),
+    "social sciences": (f'{BODY}<div class="social-sciences">On society.</div><p>{TAIL}</p>', [*WORDS, "On society.", TAIL]),
+    "data state": (f'<div data-state="not hidden" data-role="form">{BODY}</div>', WORDS),
+    "unclosed button": (f"<button>Play {BODY}", ["Play", *WORDS]),
+    "buttons": (f"<button>Play</button>{BODY}<p>Text <button>Copy</button> goes on.</p>", [*WORDS, "Text goes on."]),
+    "unclosed quote": (f"<p>See the <a title=\"it's>link</a> there.</p>{BODY}<p class=\"x\">End of it.</p>", ["See the link there.", *WORDS, "End of it."]),
+    "markup in a value": (f'<p data-x="<b>no</b> a > b">Yes.</p>{BODY}', ["Yes.", *WORDS]),
+    "form around all": (f'<form id="aspnetForm"><nav>Menu here</nav>{BODY}<div class="sidebar">Side words</div></form>', WORDS),
+    "sidebar layout": (f'<body class="has-sidebar no-ads"><div id="sidebar-left"><p>Side.</p></div><div class="content-sidebar-wrap">{BODY}</div><div class="widget-area">More.</div>', WORDS),
+    "unclosed nav": (f"<nav><a href=x>Home</a> {BODY}", WORDS),
+    "shares and adverts": (f'{BODY}<div class="social-share">Share it</div><div class="ad-slot-1">Buy</div><p>After the advert.</p><div id="cookie-notice">We use cookies</div>', [*WORDS, "After the advert."]),
+    "comments": (f'<article>{BODY}<section class="comments-area"><article class="comment"><p>{"I like this a lot. " * 3}</p></article></section></article>', WORDS),
+    "furniture alone": ("<nav><a href=x>Home</a></nav><footer>All rights</footer>", []),
+    "cells without ends": (f"{BODY}<table><tr><td>one<td>two<tr><td>three</table><p>{TAIL}</p>", [*WORDS, "one", "two", "three", TAIL]),
+    "unclosed link": (f'{BODY}<p>Go <a href="x">here <a href="y">or there</a> now<script>x</script>.</p><p>{TAIL}</p>', [*WORDS, "Go here or there now.", TAIL]),
+}
+
+
+@pytest.mark.parametrize("name", list(ODD))
+def test_odd_pages_keep_their_text(name):
+    page, blocks = ODD[name]
+    assert html.Page(page).text(html.PRIOR) == "\n\n".join(blocks)
+
+
+def test_odd_pages_take_time_in_proportion():
+    import time
+
+    started = time.time()
+    for page in ("<div>" * 60_000 + "x", "</b>" * 60_000, "<p title=\"it's>" * 20_000, "<i>" * 30_000 + "</b>" * 30_000, "<" * 60_000, "<!--" * 20_000):
+        html.Page(page).text(html.PRIOR)
+    assert time.time() - started < 20
+
+
 def test_main_text_of_the_pages(spark, sf_dir):
     import re
     from html import unescape
@@ -43,10 +85,9 @@ def test_the_region_is_the_greatest_sum():
     draw = random.Random(8)
     weights = {"word p": 1.0, "word link": -0.5, "tag p": -1.5, "tag block": -3.0}
     for _ in range(200):
-        page = html.Page("")
-        page.tokens = [(k := draw.choice(list(weights)), draw.randint(0, 4), 0, "", False, False) for _ in range(draw.randint(0, 12))]
-        score = [weights[k] * (n if k.startswith("word") else 1) for k, n, *_ in page.tokens]
-        first, last = page.region(weights)
+        tokens = [(draw.choice(list(weights)), draw.randint(0, 4)) for _ in range(draw.randint(0, 12))]
+        score = [weights[k] * (n if k.startswith("word") else 1) for k, n in tokens]
+        first, last = html.region(tokens, weights)
         assert sum(score[first:last]) == pytest.approx(max([0.0, *(sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1))]))
 
 
