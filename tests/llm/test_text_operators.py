@@ -135,6 +135,20 @@ def test_shared_trie_against_plain_programming():
     counter = token_counts.UnigramCounter(pieces)
     assert counter.counts(words).tolist() == [plain("▁" + w) for w in words]
     assert counter.lookup(words).tolist() == counter.lookup(words).tolist()
+    assert [counter.count_of(w) for w in words] == [plain("▁" + w) for w in words]
+
+
+def test_long_words_take_time_in_proportion():
+    import time
+
+    counter = token_counts.UnigramCounter(token_counts.ranked_pieces(tokenizer_path("piece_bpe_32k.model")))
+    draw = np.random.default_rng(0)
+    word = "".join(draw.choice(list("ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/"), 200_000))
+    started = time.time()
+    [long] = counter.counts([word])
+    assert time.time() - started < 10
+    parts = [word[k : k + 150] for k in range(0, 1500, 150)]
+    assert [counter.count_of(p) for p in parts] == counter.counts(parts).tolist() and long > 50_000
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -359,7 +373,7 @@ def test_the_wavelet_tree_takes_about_the_entropy():
 def test_removal_comes_from_the_index_alone(monkeypatch):
     """What the index doesn't find stays, copies of a whole segment included."""
     words = np.arange(20, dtype="<u8").tobytes()
-    rows = pa.table({"shard": [0], "words": pa.array([words], pa.binary()), "first": [3], "last": [9]})
+    rows = pa.table({"name1": [0], "name2": [0], "words": pa.array([words], pa.binary()), "first": [3], "last": [9]})
     [owners] = substring._search(rows, 13)["owners"].to_pylist()
     assert np.frombuffer(owners, "<i8").tolist() == [3] * 8
     monkeypatch.setattr(substring.FmIndex, "step", lambda self, symbol, low, high: (low, low))
