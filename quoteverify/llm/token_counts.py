@@ -9,6 +9,9 @@ Model: the pieces of a public sentencepiece file; a piece's log probability fall
 less the log of their sum, as the file ranks pieces by frequency of merging. A character that is no piece is an
 unknown token of its own, ten below the least score. Of equal scores the longest last piece wins.
 
+A pre-token of more than ``LONG`` characters (an encoded file, say) shares its prefixes with none; the same programming
+then runs along its characters alone, in time proportional to its length.
+
 Pre-tokens are words between white space (``[^\\x20\\x09-\\x0D]+``) after U+2581.
 
 Edge cases: a null or empty text has no pre-tokens and count 0; rows with a null doc_id take no part; repeated rows are
@@ -26,6 +29,8 @@ from .common import ranges, slices, text_array, texts_of
 from .tokens import tokenizer_path
 
 SPACE = "▁"
+#: Characters from which a pre-token is taken by itself.
+LONG = 200
 KEPT_WORDS = 600_000
 
 
@@ -55,6 +60,7 @@ class UnigramCounter:
                     score.append(-np.inf)
                 state = to
             score[state] = value
+        self.letter, self.arcs, self.scores = letter, arcs, score
         self.keys = np.array(sorted(arcs), np.int64)
         self.to = np.array([arcs[k] for k in self.keys.tolist()], np.int64)
         self.score = np.array(score)
@@ -66,8 +72,38 @@ class UnigramCounter:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys) & (letters > 0), self.to[at], -1)
 
+    def count_of(self, word: str) -> int:
+        """Tokens of one word, along its characters."""
+        arcs, scores, width, letter = self.arcs, self.scores, self.width, self.letter
+        best, count = 0.0, 0
+        open_: list[tuple[int, float, int]] = []  # piece starts, the earliest first: state, score and tokens before
+        for c in SPACE + word:
+            code = letter.get(c, 0)
+            open_.append((0, best, count))
+            found, tokens = best + self.unknown, count + 1
+            if code and (own := arcs.get(code)) is not None and scores[own] > -np.inf:
+                found = -np.inf  # the character is a piece, so it is not unknown
+            kept = []
+            for state, before, n in open_:
+                to = arcs.get(state * width + code) if code else None
+                if to is None:
+                    continue
+                kept.append((to, before, n))
+                if before + scores[to] > found:
+                    found, tokens = before + scores[to], n + 1
+                elif before + scores[to] == found and len(kept) == 1:
+                    tokens = n + 1
+            open_, best, count = kept, found, tokens
+        return count
+
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each of the distinct words, which get the space mark before them."""
+        long = np.array([len(w) > LONG for w in words], bool)
+        if long.any():
+            out = np.zeros(len(words), np.int64)
+            out[long] = [self.count_of(w) for w, is_long in zip(words, long.tolist()) if is_long]
+            out[~long] = self.counts([w for w, is_long in zip(words, long.tolist()) if not is_long])
+            return out
         order = sorted(range(len(words)), key=words.__getitem__)
         codes = np.frombuffer((SPACE + SPACE.join(words[i] for i in order)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         lengths = np.array([len(words[i]) + 1 for i in order], np.int64)
