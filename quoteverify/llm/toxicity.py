@@ -7,8 +7,9 @@ the three probabilities. A document is toxic from the severity on that makes the
 Features x are sparse: the words of a text and their first 4, 5 and 6 letters, present or not. Those kept are the ones
 whose odds of standing in a toxic labelled text rather than a clean one are high.
 
-Labels say toxic or not. The grade of a toxic training text follows from how many of its words hold the features that
-mark toxic texts best: the lowest third of the toxic texts is grade 1, the next 2, the highest 3.
+Labels say toxic or not; grades order the toxic texts by how far they are from clean ones, as judged by models that never
+saw them: the labelled texts are parted into ``FOLDS``, a first model with one threshold is fitted on all folds but one and
+scores that one, and of the toxic texts the third with the lowest of these scores is grade 1, the next 2, the highest 3.
 
 Fitting uses a bounded sample of labelled rows: about ``sample`` rows by hash of the doc_id (all, if there are fewer),
 of at most ``features`` features. Scoring covers every document and its whole text.
@@ -36,8 +37,8 @@ PREFIXES = (4, 5, 6)
 GRADES = 3
 #: A kept feature stands in so many toxic texts of the sample, with so many times the odds.
 LEAST_TEXTS, LEAST_ODDS = 3, 8.0
-#: A feature marks grades if its odds are so high and so large a share of toxic texts has it.
-MARK_ODDS, MARK_SHARE = 50.0, 0.005
+#: Parts of the labelled texts, each of which models of the others score; steps of fitting such a model.
+FOLDS, FOLD_STEPS = 3, 300
 
 
 def features_of(word: str) -> list[str]:
@@ -75,12 +76,12 @@ class TextFeatures:
         return np.repeat(row, times), at, of_piece
 
 
-def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, size: int, steps: int = 1200, ridge: float = 1e-5):
-    """Weights and thresholds by gradient descent (Adam) on the mean log-loss of the observed grades. rows, features:
-    places of the ones in the sparse matrix."""
+def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, size: int, steps: int = 1200, ridge: float = 1e-5, top: int = GRADES):
+    """Weights and thresholds by gradient descent (Adam) on the mean log-loss of the observed grades, 0 to ``top``. rows,
+    features: places of the ones in the sparse matrix."""
     n = len(grades)
-    weights, first, gaps = np.zeros(size), 0.0, np.zeros(GRADES - 1)
-    state = [np.zeros(size + GRADES), np.zeros(size + GRADES)]
+    weights, first, gaps = np.zeros(size), 0.0, np.zeros(top - 1)
+    state = [np.zeros(size + top), np.zeros(size + top)]
     for step in range(1, steps + 1):
         cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         value = np.bincount(rows, weights=weights[features], minlength=n)
@@ -90,10 +91,10 @@ def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, size: int, s
         slope = edges * (1 - edges)
         upper, lower = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
         by_value = -(upper - lower) / n
-        by_cut = np.zeros(GRADES)
+        by_cut = np.zeros(top)
         np.add.at(by_cut, grades[grades > 0] - 1, upper[grades > 0] / n)
-        np.add.at(by_cut, grades[grades < GRADES], -lower[grades < GRADES] / n)
-        by_gap = np.array([by_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(GRADES - 1)])
+        np.add.at(by_cut, grades[grades < top], -lower[grades < top] / n)
+        by_gap = np.array([by_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(top - 1)])
         gradient = np.concatenate([np.bincount(features, weights=by_value[rows], minlength=size) + ridge * weights / max(1, size) ** 0.5, [by_cut.sum()], by_gap])
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.999 * state[1] + 0.001 * gradient**2
@@ -102,6 +103,19 @@ def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, size: int, s
     return weights, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
+def observed_grades(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """0 for clean texts, 1 to 3 for the thirds of the toxic ones by the scores of models that were not fitted on them."""
+    fold, scores = np.arange(len(toxic)) % FOLDS, np.zeros(len(toxic))
+    for k in range(FOLDS):
+        seen = fold != k
+        number = np.cumsum(seen) - 1
+        own = seen[row]
+        weights, _ = fit(number[row[own]], feature[own], toxic[seen], size, FOLD_STEPS, top=1)
+        scores += np.where(fold == k, np.bincount(row, weights=weights[feature], minlength=len(toxic)), 0.0)
+    edges = np.quantile(scores[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (scores > edges[0]).astype(np.int64) + (scores > edges[1]), 0)
+
+
 def severity(value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """P(grade > k) for each k; their sum is the expected severity."""
     return 1 / (1 + np.exp(np.clip(cuts[None, :] - value[:, None], -700, 700)))
@@ -153,36 +167,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         return {}, [0.0] * GRADES, float(GRADES)
     odds = (F.col("a") + 0.5) / (F.col("b") + 0.5) * F.lit((totals["b"] + 1) / (totals["a"] + 1))
     kept = rows.mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("odds", odds).where((F.col("a") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS))
-    names, marks = [], set()
-    for r in kept.orderBy(F.desc(F.col("a") * F.log("odds")), "feature").limit(features).collect():  # at most `features` rows
-        if r["odds"] >= MARK_ODDS and r["a"] >= MARK_SHARE * totals["a"] and not r["feature"].endswith("*"):
-            marks.add(len(names))
-        names.append(r["feature"])
+    names = [r["feature"] for r in kept.orderBy(F.desc(F.col("a") * F.log("odds")), "feature").limit(features).collect()]  # at most `features` rows
     if not names:
         return {}, [0.0] * GRADES, float(GRADES)
     chosen = {name: i for i, name in enumerate(names)}
-    marked = np.zeros(len(names), bool)
-    marked[list(marks)] = True
 
     def places(batches):
         for batch in slices(batches):
             row, at, of = TextFeatures(batch.column("text")).pairs(chosen)
-            found = np.array(of, np.int64)[at] if len(at) else at
-            hits = np.bincount(row[marked[found]], minlength=batch.num_rows) if len(at) else np.zeros(batch.num_rows, np.int64)
-            lists = np.split(np.unique(row * len(names) + found), np.searchsorted(np.unique(row * len(names) + found), np.arange(1, batch.num_rows) * len(names)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(hits.astype(np.int64)), pa.array([(x % len(names)).astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["toxic", "hits", "features"])
+            once = np.unique(row * len(names) + np.array(of, np.int64)[at]) if len(at) else at
+            lists = np.split(once, np.searchsorted(once, np.arange(1, batch.num_rows) * len(names)))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([(x % len(names)).astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["toxic", "features"])
 
-    table = rows.mapInArrow(places, "toxic int, hits long, features array<int>").toArrow()  # a few numbers for each row of the sample
-    order = pc.sort_indices(pa.chunked_array([pa.array([str(x) for x in table["features"].to_pylist()])]))  # sums don't depend on the order of tasks
+    table = rows.mapInArrow(places, "toxic int, features array<int>").toArrow()  # a few numbers for each row of the sample
+    order = pc.sort_indices(pa.chunked_array([pa.array([f"{x} {t}" for x, t in zip(table["features"].to_pylist(), table["toxic"].to_pylist())])]))  # sums and folds don't depend on the order of tasks
     table = table.take(order)
-    toxic, hits = table["toxic"].to_numpy(), table["hits"].to_numpy()
-    edges = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
-    grades = np.where(toxic == 1, 1 + (hits > edges[0]).astype(np.int64) + (hits > edges[1]), 0)
+    toxic = table["toxic"].to_numpy().astype(np.int64)
     lists = [np.array(x, np.int64) for x in table["features"].to_pylist()]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    weights, cuts = fit(row, np.concatenate(lists) if lists else np.zeros(0, np.int64), grades, len(names))
-    above = severity(np.bincount(row, weights=weights[np.concatenate(lists)], minlength=len(lists)), cuts)
-    return {n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-6}, cuts.tolist(), best_cut(above.sum(axis=1), toxic.astype(np.int64))
+    feature = np.concatenate(lists)
+    grades = observed_grades(row, feature, toxic, len(names))
+    weights, cuts = fit(row, feature, grades, len(names))
+    above = severity(np.bincount(row, weights=weights[feature], minlength=len(lists)), cuts)
+    return {n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-6}, cuts.tolist(), best_cut(above.sum(axis=1), toxic)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

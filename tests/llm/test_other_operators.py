@@ -133,6 +133,57 @@ def test_toxicity(spark, make_docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.toxic}
 
 
+def test_toxicity_against_a_plain_version(spark, make_docs):
+    """Features, their choice, out-of-fold grades and scores of all documents, with sets and loops."""
+    from collections import Counter
+
+    import regex
+
+    docs, labels = toxic_tables(spark, make_docs)
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, r.text or "")
+    known = {}
+    for r in labels.collect():
+        if r.doc_id in texts and r.toxic is not None:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+
+    def features(text):
+        found = set()
+        for piece in regex.findall("[^\x20\x09-\x0d]+", text.lower()):
+            for word in regex.findall(r"\p{L}+", piece):
+                found |= {word} | {f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n}
+        return found
+
+    sample = {texts[i]: t for i, t in sorted(known.items(), reverse=True)}  # of equal texts the least id's label
+    totals = Counter(sample.values())
+    a, b = Counter(), Counter()
+    for text, t in sample.items():
+        (a if t else b).update(features(text))
+    odds = {f: (a[f] + 0.5) / (b[f] + 0.5) * (totals[0] + 1) / (totals[1] + 1) for f in a}
+    names = sorted((f for f in a if a[f] >= toxicity.LEAST_TEXTS and odds[f] >= toxicity.LEAST_ODDS), key=lambda f: (-a[f] * math.log(odds[f]), f))
+    rows = sorted(([names.index(f) for f in sorted(features(text) & set(names), key=names.index)], t) for text, t in sample.items())
+    rows.sort(key=lambda r: f"{r[0]} {r[1]}")
+    toxic = np.array([t for _, t in rows])
+    row, feature = np.array([(i, f) for i, (fs, _) in enumerate(rows) for f in fs]).T
+    score = np.zeros(len(rows))
+    for k in range(toxicity.FOLDS):
+        others = [i for i in range(len(rows)) if i % toxicity.FOLDS != k]
+        pairs = np.array([(n, f) for n, i in enumerate(others) for f in rows[i][0]]).T
+        weights, _ = toxicity.fit(pairs[0], pairs[1], toxic[others], len(names), toxicity.FOLD_STEPS, top=1)
+        for i in range(k, len(rows), toxicity.FOLDS):
+            score[i] = sum(weights[f] for f in rows[i][0])
+    low, high = np.quantile(score[toxic == 1], [1 / 3, 2 / 3])
+    grades = np.array([0 if not t else 1 + (s > low) + (s > high) for t, s in zip(toxic, score)])
+    weights, cuts = toxicity.fit(row, feature, grades, len(names))
+    severity = lambda fs: sum(1 / (1 + math.exp(c - sum(weights[f] for f in fs))) for c in cuts)
+    least = toxicity.best_cut(np.array([severity(fs) for fs, _ in rows]), toxic)
+    assert len(set(grades)) == 4
+    for r in toxicity.toxicity(docs, labels).collect():
+        value = severity([names.index(f) for f in features(texts[r.doc_id]) if f in names])
+        assert r.severity == pytest.approx(value, abs=1e-4) and r.toxic == (value >= least), r.doc_id
+
+
 def test_toxicity_without_labels(spark, make_docs):
     docs, labels = toxic_tables(spark, make_docs, 20)
     for none in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1")):
