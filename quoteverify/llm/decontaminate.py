@@ -116,6 +116,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no item contaminates."""
-    leaked = written(decontaminate(docs, items).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"] == leaked["__leaked"], "left_anti")
+    """The rows of ``docs``, with all their columns, that no item contaminates; each row by itself, also of those that share a
+    doc_id, and rows without a doc_id too."""
+    row = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+    leaked = written(decontaminate(docs.select(row.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
+    return docs.join(leaked, row == leaked["__leaked"], "left_anti")

@@ -5,8 +5,10 @@ share a fingerprint, so everything after works on distinct fingerprints.
 
 Candidates meet by the pigeonhole principle: with b blocks of bits and at most r differing bits, b - r blocks agree.
 Each fingerprint goes to one cell for each choice of b - r blocks; b grows with the number of fingerprints so that
-cells stay small, and every choice of b finds the same links. A cell of more than ``CELL`` fingerprints is dealt to
-chunks, and each pair of chunks is a cell of its own: the same links again, and no task holds the whole group.
+cells stay small, and every choice of b finds the same links. A cell of more than ``HOT`` fingerprints, which share an
+unusual pattern, is parted into blocks once more, now of the bits that its own blocks leave free. A cell of more than
+``CELL`` fingerprints is dealt to chunks, and each pair of chunks is a cell of its own: the same links again, and no task
+holds the whole group.
 
 In a cell, fingerprints are sorted by Gray rank, so neighbours share most bits. Consecutive fingerprints form a node
 that holds the bits all of them share (a mask and a pattern), nodes form upper nodes likewise. A search goes down with
@@ -37,6 +39,8 @@ from .token_counts import word_lists
 RADIUS = 3
 #: Fingerprints in a cell or chunk.
 CELL = 1024
+#: Fingerprints from which a cell is parted by its free bits, and how many of the blocks of these agree.
+HOT, AGREE = 16 * CELL, 2
 #: Fingerprints or nodes under a node.
 FANOUT = 8
 ROWS = 1 << 16
@@ -79,6 +83,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def row_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, same (a hash of the text), fp of each row."""
+
+    def run(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(fingerprints_of(batch.column("text")).view(np.int64))], ["doc_id", "same", "fp"])
+
+    return texts_of(docs).withColumn("same", F.xxhash64("text")).mapInArrow(run, "doc_id long, same long, fp long")
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     x = x.copy()
     for s in (1, 2, 4, 8, 16, 32):
@@ -139,11 +153,23 @@ def joined(n: int, parts) -> np.ndarray:
     return root
 
 
+def choices(bits: list[int], radius: int, agree: int) -> list[int]:
+    """Masks of ``agree`` of radius + agree blocks of these bits: two numbers that differ in at most ``radius`` bits agree in
+    all bits of one of the masks."""
+    edges = [len(bits) * i // (radius + agree) for i in range(radius + agree + 1)]
+    blocks = [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(blocks, agree)]
+
+
 def blocks_for(n: int, radius: int = RADIUS) -> list[int]:
     """Masks of the bits that meet in a cell, by the number of fingerprints."""
     agree = next((k for k in (1, 2, 3) if n <= 64 << (64 * k // (radius + k))), 3)
-    edges = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
-    return [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen) for chosen in combinations(range(radius + agree), agree)]
+    return choices(list(range(64)), radius, agree)
+
+
+def free_blocks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that part a cell of this mask further."""
+    return choices([b for b in range(64) if not mask >> b & 1], radius, AGREE)
 
 
 def _signed(mask: int) -> int:
@@ -155,11 +181,19 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct fingerprints in column fp."""
     masks = blocks_for(fps.count(), radius)
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("part")) for k, m in enumerate(masks)))).alias("c")).select("fp", "c.k", "c.part")
-    sizes = keyed.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(sizes, ["k", "part"]).withColumn("chunks", F.ceil(F.col("n") / CELL).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(j, F.col("own")) * F.col("chunks") + F.greatest(j, F.col("own")))
-    cells = dealt.select("fp", F.explode(pairs).alias("pair"), "k", "part").select("fp", F.xxhash64("k", "part", "pair").alias("cell"))
     spark = fps.sparkSession
+    count = lambda rows: rows.groupBy("k", "part", "j", "more").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = keyed.select("fp", "k", "part", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("more"))
+    sizes = written(count(keyed), "sizes")
+    joined_ = keyed.join(sizes, ["k", "part", "j", "more"])
+    if sizes.where(F.col("n") > HOT).limit(1).count():
+        # a row for each mask of the free bits of each of the masks: some hundreds at most
+        finer = spark.createDataFrame([(k, j, _signed(x)) for k, m in enumerate(masks) for j, x in enumerate(free_blocks(m, radius))], "k int, j int, mask long")
+        hot = joined_.where(F.col("n") > HOT).select("fp", "k", "part").join(F.broadcast(finer), "k").select("fp", "k", "part", "j", F.col("fp").bitwiseAND(F.col("mask")).alias("more"))
+        joined_ = joined_.where(F.col("n") <= HOT).unionByName(hot.join(count(hot), ["k", "part", "j", "more"]))
+    dealt = joined_.withColumn("chunks", F.ceil(F.col("n") / CELL).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(j, F.col("own")) * F.col("chunks") + F.greatest(j, F.col("own")))
+    cells = dealt.select("fp", F.explode(pairs).alias("pair"), "k", "part", "j", "more").select("fp", F.xxhash64("k", "part", "j", "more", "pair").alias("cell"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def search(cell, fp):
@@ -207,23 +241,33 @@ def components(edges: DataFrame) -> DataFrame:
     return found.select("node", F.col("to").alias("root"))
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of a table; those of a component share the root."""
+    distinct = written(prints.select("fp").distinct(), "distinct")
+    return distinct.join(components(near_links(distinct, radius)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
     prints = written(fingerprints(docs), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    rooted = distinct.join(components(near_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
+    rooted = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(_classes(prints, radius), "fp"), "rooted")
     classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component; one row for a doc_id
-    that comes repeatedly. Rows without a doc_id stay."""
-    classes = written(near_duplicates(docs, radius).select("doc_id", "component_id"), "classes")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    if classes.count() == classes.select("doc_id").distinct().count():
-        return kept
-    first = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return first.where("__row = 1 OR doc_id IS NULL").drop("__row")
+    """The rows of ``docs``, with all their columns, that come first in their component by doc_id and text hash: one of each.
+    Rows that share a doc_id are documents of their own unless their texts are near duplicates. Rows without a doc_id stay."""
+    same = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.where("doc_id IS NOT NULL")
+    prints = written(row_fingerprints(rows), "fingerprints")
+    rooted = prints.join(_classes(prints, radius), "fp")
+    first = written(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.same").alias("__same")), "first")
+    kept = rows.join(first, (F.col("doc_id").cast("long") == F.col("__id")) & (same == F.col("__same")), "left_semi")
+    copies = prints.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("same") == F.col("__same")), "left_semi").count() - first.count()
+    if copies:  # rows that are the same in both; ranks are cut before the shuffle
+        once = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("text")
+        kept = kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row")
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -224,7 +224,7 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from quoteverify.llm import common
 
-    from .test_text_operators import plain_components, plain_fingerprint, plain_ids, plain_removed
+    from .test_text_operators import plain_components, plain_fingerprint, plain_ids, plain_leaks, plain_removed
 
     docs = common.documents(spark, sf_dir)
     columns, stages = docs.columns, []
@@ -239,9 +239,9 @@ def test_pipeline(spark, sf_dir):
     assert sorted(r["doc_id"] for r in distinct) == sorted(set(classes.values()))
     texts = {i: " ".join(w for w, g in zip(ws, gone) if not g) for i, ws, gone in plain_removed([(r["doc_id"], r["text"]) for r in distinct]) if any(gone)}
     assert {r["doc_id"]: r["text"] for r in cut} == {r["doc_id"]: texts.get(r["doc_id"], r["text"]) for r in distinct}
-    items = [r.text for r in common.table(spark, sf_dir, "benchmark").collect()]
-    leaked = {r["doc_id"] for r in cut for t in items if " ".join(t.split()) in " ".join(r["text"].split())}
-    assert leaked.isdisjoint(r["doc_id"] for r in safe) and len(safe) >= len(cut) - 2 * len(leaked) - 1
+    items = [(r.item_id, r.text) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    leaked = plain_leaks([(r["doc_id"], r["text"]) for r in cut], items)
+    assert leaked and sorted(r["doc_id"] for r in safe) == sorted(r["doc_id"] for r in cut if r["doc_id"] not in leaked)
     lengths = {}
     for r in packed:
         lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]

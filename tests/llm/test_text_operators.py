@@ -259,12 +259,16 @@ def test_near_duplicates(make_docs, corpus_rows):
     kept = simhash.one_of_each(make_docs(corpus_rows))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes.values())) and "block" in kept.columns
     assert simhash.near_duplicates(make_docs([])).count() == 0 and simhash.one_of_each(make_docs([])).count() == 0
+    words = [f"w{k}" for k in range(200)]
+    apart = [(7, " ".join(words[:60])), (7, " ".join(words[60:120])), (7, " ".join(words[60:120])), (8, " ".join(words[60:120]) + " "), (None, "x"), (None, "x"), (9, None), (10, "")]
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in simhash.one_of_each(make_docs(apart)).collect()) == sorted([(0, 1), (0, 1), (7, len(apart[0][1])), (7, len(apart[1][1])), (9, 0)])
 
 
-@pytest.mark.parametrize("cell", [16, 1024])
-def test_links_of_clustered_fingerprints(spark, monkeypatch, cell):
-    """Chains of near fingerprints, and a cluster larger than a cell, which is dealt to chunks."""
+@pytest.mark.parametrize(("cell", "hot"), [(16, 10**6), (1024, 10**6), (16, 40)])
+def test_links_of_clustered_fingerprints(spark, monkeypatch, cell, hot):
+    """Chains of near fingerprints, and a cluster larger than a cell, which is dealt to chunks or parted by its free bits."""
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "HOT", hot)
     draw = np.random.default_rng(3)
     centres = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(c) for c in centres}
@@ -291,7 +295,9 @@ def test_blocks_guarantee_the_radius():
         masks = simhash.blocks_for(n)
         for _ in range(300):
             differ = sum(1 << int(b) for b in draw.choice(64, 3, replace=False))
-            assert any(differ & m == 0 for m in masks)
+            agreed = [m for m in masks if differ & m == 0]
+            assert agreed and all(any(differ & x == 0 for x in simhash.free_blocks(m)) for m in agreed[:3])
+            assert all(x & m == 0 for m in agreed[:3] for x in simhash.free_blocks(m))
 
 
 def plain_removed(rows, window=13):
@@ -380,6 +386,38 @@ def test_removal_comes_from_the_index_alone(monkeypatch):
     assert substring._search(rows, 13).num_rows == 0
 
 
+def plain_leaks(docs, items):
+    """The doc_ids of documents of which a window as long as an item is similar to it, by trying all windows that share a
+    shingle with it."""
+    import regex
+
+    words = regex.compile(r"[\p{L}\p{N}]+").findall
+    shingle = lambda t: [" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if (w := words((t or "").lower())) else []
+    of = {i: shingle(t) for i, t in items}
+    of = {i: s for i, s in of.items() if s}
+    df = Counter(h for s in of.values() for h in set(s))
+    weight = lambda h: math.log(1 + len(of) / df.get(h, 1)) if h in df else math.log(1 + len(of))
+    having = {}
+    for i, s in of.items():
+        for h in set(s):
+            having.setdefault(h, set()).add(i)
+    out = set()
+    for d, t in docs:
+        s = shingle(t)
+        for i in set().union(*(having.get(h, ()) for h in set(s))):
+            y = Counter(of[i])
+            for k in range(max(1, len(s) - len(of[i]) + 1)):
+                x = Counter(s[k : k + len(of[i])])
+                if x.keys() & y.keys():
+                    common = sum(min(x[h], y[h]) * weight(h) for h in x)
+                    if common / (sum(weight(h) * c for h, c in x.items()) + sum(weight(h) * c for h, c in y.items()) - common) >= 0.8 - 1e-9:
+                        out.add(d)
+                        break
+            if d in out:
+                break
+    return out
+
+
 def test_decontamination(spark, make_docs):
     import regex
 
@@ -409,6 +447,8 @@ def test_decontamination(spark, make_docs):
     assert got == pytest.approx(expected) and {(10, 1), (11, 5), (17, 2), (18, 1)} <= set(got)
     kept = decontaminate.without_leaks(make_docs(docs), bench)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in {k[0] for k in expected})
+    twice = [(10, item), (10, "clean text of the same id"), (None, item), (None, "clean"), (11, None)]
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.without_leaks(make_docs(twice), bench).collect() if r.text) == [(0, "clean"), (10, "clean text of the same id")]
     assert decontaminate.decontaminate(make_docs([]), bench).count() == 0
     assert decontaminate.decontaminate(make_docs(docs), bench.limit(0)).count() == 0
 
