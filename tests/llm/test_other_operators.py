@@ -224,7 +224,7 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from quoteverify.llm import common
 
-    from .test_text_operators import plain_components, plain_fingerprint, plain_ids, plain_leaks, plain_removed
+    from .test_text_operators import plain_ids, plain_leaks, plain_removed, plain_similar
 
     docs = common.documents(spark, sf_dir)
     columns, stages = docs.columns, []
@@ -235,8 +235,8 @@ def test_pipeline(spark, sf_dir):
     clean, distinct, cut, safe, packed = stages
     flags = {r.doc_id: r.toxic for r in toxicity.toxicity(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels")).collect()}
     assert sorted(r["doc_id"] for r in clean) == sorted(i for i, t in flags.items() if not t)
-    classes = plain_components({r["doc_id"]: plain_fingerprint(r["text"]) for r in clean})
-    assert sorted(r["doc_id"] for r in distinct) == sorted(set(classes.values()))
+    groups = plain_similar([(r["doc_id"], r["text"]) for r in clean])
+    assert sorted(r["doc_id"] for r in distinct) == sorted(min(i for i, _ in g) for g in groups.values()) and len(distinct) < len(clean)
     texts = {i: " ".join(w for w, g in zip(ws, gone) if not g) for i, ws, gone in plain_removed([(r["doc_id"], r["text"]) for r in distinct]) if any(gone)}
     assert {r["doc_id"]: r["text"] for r in cut} == {r["doc_id"]: texts.get(r["doc_id"], r["text"]) for r in distinct}
     items = [(r.item_id, r.text) for r in common.table(spark, sf_dir, "benchmark").collect()]

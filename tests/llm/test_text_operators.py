@@ -251,6 +251,59 @@ def plain_components(prints, radius=3):
     return {i: find(i) for i in ids}
 
 
+def plain_fingerprint_of(text, size):
+    ws = SPACE.findall((text or "").translate(LOW))
+    parts = [" ".join(ws[k : k + size]) for k in range(len(ws) - size + 1)] if len(ws) >= size else [" ".join(ws)] if ws else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)), set(parts)
+
+
+def plain_similar(rows, similarity=0.8, size=5, radius=8):
+    """The first row of each group of texts that links connect: near in their fingerprints and similar in their shingles."""
+    texts = sorted({t or "" for _, t in rows})
+    of = {t: plain_fingerprint_of(t, size) for t in texts}
+    root = {t: t for t in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(texts):
+        for b in texts[k + 1 :]:
+            (f, x), (g, y) = of[a], of[b]
+            if (f ^ g).bit_count() <= radius and len(x & y) >= similarity * len(x | y) - 1e-9:
+                root[find(a)] = find(b)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(find(t or ""), []).append((i, t or ""))
+    return groups
+
+
+@pytest.mark.parametrize(("cell", "hot"), [(1024, 10**6), (8, 20)])
+def test_near_duplicates_by_similarity(make_docs, monkeypatch, cell, hot):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    draw = np.random.default_rng(5)
+    word = lambda: f"w{draw.integers(0, 5000)}"
+    rows = []
+    for group in range(12):
+        base = [word() for _ in range(150)]
+        for k in range(12):
+            changed = list(base)
+            for at in draw.choice(150, int(draw.integers(0, 7)), replace=False).tolist():
+                changed[at] = word()
+            base = changed if k % 4 == 3 else base  # chains, too
+            rows.append((group * 100 + k, " ".join(changed)))
+    rows += [(2000, rows[0][1]), (2000, "a text of its own"), (2001, "  "), (2002, None), (2003, "one"), (2004, "ONE"), (2005, rows[30][1].upper()), (2006, rows[0][1]), (2006, rows[0][1])]
+    groups = plain_similar(rows)
+    got = simhash.one_of_similar(make_docs([*rows, (None, "x")]))
+    firsts = sorted(min(i for i, _ in g) for g in groups.values())
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == firsts and 20 < len(groups) < 120
+    assert got.where("doc_id IS NULL").count() == 1 and got.columns == make_docs([]).columns
+    assert simhash.one_of_similar(make_docs([])).count() == 0
+
+
 def test_near_duplicates(make_docs, corpus_rows):
     got = simhash.near_duplicates(make_docs(corpus_rows)).collect()
     prints = {i: plain_fingerprint(t) for i, t in corpus_rows}
