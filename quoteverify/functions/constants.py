@@ -1,11 +1,11 @@
 """Word lists, patterns and thresholds that results depend on. They are data, stated as they are."""
 
 # --- fixed values: Arabic writing ---------------------------------------------------------------------------------
-DIACRITICS = "ؐ-ًؚ-ٰٟۖ-ۭـ࣓-ࣿ"
-MARKS = "ً-ٰٟۖ-ۭ"
+DIACRITICS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640\u08d3-\u08ff"
+MARKS = "\u064b-\u065f\u0670\u06d6-\u06ed"
 LETTERS = "ء-ي"
-OPEN_TANWEEN = "ࣰ"
-DAGGER_ALIF = "ٰ"
+OPEN_TANWEEN = "\u08f0"
+DAGGER_ALIF = "\u0670"
 LETTER_MAP = {"إ": "ا", "أ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ؤ": "و", "ة": "ه", "ی": "ي", "ې": "ي", "ک": "ك", "ہ": "ه", "ۃ": "ه", "ە": "ه"}
 PERSIAN_MAP = {"ی": "ي", "ې": "ي", "ک": "ك", "ہ": "ه", "ۃ": "ة", "ە": "ه"}
 
@@ -57,12 +57,12 @@ FORMULA_IN_BRACKETS = (
     r"|(?<=\s)الله\s+عنه(?:ما|م|ا)?\s*[)\]]"
 )
 TRAILING_SOURCE = r"\s+[(\[]?\s*(?:رواه|أخرجه|اخرجه|متفق\s+عليه)(?:\s+[^\s()]+){0,5}\s*[)\]]?\s*$"
-LONE_ALIF = "^[اى][ً-ْۖ-ۭ]*\\s+"
+LONE_ALIF = "^[اى][\u064b-\u0652\u06d6-\u06ed]*\\s+"
 BARE_LEADS = (("قال",), ("يقول",), ("أنه", "قال"))
 QUDSI = r"(?:قال|يقول) (?:الله|ربكم|ربك|ربه|ربنا)"
 
 # --- fixed values: typing variants and misreadings ----------------------------------------------------------------
-NAME_WITH_MARKS = "ا[ً-ْ]*ل[ً-ْ]*ل[ً-ْ]*ه"
+NAME_WITH_MARKS = "ا[\u064b-\u0652]*ل[\u064b-\u0652]*ل[\u064b-\u0652]*ه"
 SALLA = r"\bصل[يى]?(?=\s+الله\s+عليه)"
 WA_SALLAM = r"(?<=عليه)\s+و\s+سلم"
 NEXT_INTRO = (

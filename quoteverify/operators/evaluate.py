@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def drawn(key: Column, seed: int, n: int, below: Column) -> Column:
+    """A number from 0, drawn by a digest of the key, the seed and the draw's number: the same on every engine."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(str(n)))), 1, 7), 16, 10).cast("long"), below).cast("int")
+
+
 def outcome(expected_kind: Column, expected: Column, got_kind: Column, got: Column) -> Column:
     """correct, missed, error_called_correct, false_alarm or softer."""
     return F.when(got.isNull(), "missed").when((got == expected) & (got_kind == expected_kind), "correct").when(expected.isin("bad", "warn") & (got == "ok"), "error_called_correct").when((expected == "ok") & (got == "bad"), "false_alarm").otherwise("softer")
@@ -38,8 +43,9 @@ def accuracy(rows: DataFrame, by: str, ok: Column) -> DataFrame:
 
 
 def upper_median(value: str) -> Column:
-    """The element in the upper middle of the sorted values."""
-    return F.element_at(F.sort_array(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1)
+    """The element in the upper middle of the sorted values: the least that over half of them do not exceed. Kept as counts by
+    value, which partial sums merge."""
+    return F.expr(f"percentile_disc(0.500000000000001D) WITHIN GROUP (ORDER BY {value})")
 
 
 def judged(expect: Column, category: Column, n_checked: Column, verdict: Column, right_place: Column) -> Column:
@@ -86,9 +92,9 @@ def paired(posts: DataFrame, by: str = "words") -> DataFrame:
 
 
 def tampered(rows: DataFrame, key: str, words: str, inserted: list[str], seed: int = 1) -> DataFrame:
-    """rows with ``op`` and ``altered``: one inner word replaced, left out or added, chosen by a hash of the key. Only texts of
+    """rows with ``op`` and ``altered``: one inner word replaced, left out or added, drawn by the key. Only texts of
     three words or more are altered."""
-    h = lambda n, m: F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(n)), m).cast("int")
+    h = lambda n, m: drawn(F.col(key), seed, n, m)
     at = h(0, F.greatest(F.size(words) - 2, F.lit(1))) + 2
     options = F.filter(F.array(*map(F.lit, inserted)), lambda w: w != F.element_at(words, at))
     word = F.element_at(options, h(1, F.size(options)) + 1)
@@ -100,8 +106,8 @@ def tampered(rows: DataFrame, key: str, words: str, inserted: list[str], seed: i
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in an order drawn by a hash of the key: the same rows each time."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows in an order drawn by the key: the same rows each time."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def holds_words(rows: DataFrame, text: str, keys: str) -> DataFrame:
@@ -121,14 +127,14 @@ def ablation(queries: DataFrame, collection, right: str = "expected") -> DataFra
 
 
 def noisy(text: Column, key: Column, seed: int = 1) -> Column:
-    """Typing noise drawn by a hash of the key, for tests: a doubled space, a stretched letter, marks at the end, or none."""
-    kind = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(4))
+    """Typing noise drawn by the key, for tests: a doubled space, a stretched letter, marks at the end, or none."""
+    kind = drawn(key, seed, 0, F.lit(4))
     stretched = F.regexp_replace(text, "^(.*?[ء-ي])([ء-ي])", "$1ـ$2")
     return F.when(kind == 0, F.regexp_replace(text, " ", "  ")).when(kind == 1, stretched).when(kind == 2, F.concat(text, F.lit(" …!!"))).otherwise(text)
 
 
 def built_posts(items: DataFrame, key: str, intro: Column, text: Column, fillers: list[str], seed: int = 1) -> DataFrame:
-    """(key, post) of posts for tests: a filler line, the introduced item in quotes, a closing line, chosen by a hash of the
+    """(key, post) of posts for tests: a filler line, the introduced item in quotes, a closing line, drawn by the
     key."""
-    pick = lambda n: F.element_at(F.array(*map(F.lit, fillers)), F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(n)), F.lit(len(fillers))).cast("int") + 1)
+    pick = lambda n: F.element_at(F.array(*map(F.lit, fillers)), drawn(F.col(key), seed, n, F.lit(len(fillers))) + 1)
     return items.select(key, F.concat_ws("\n", pick(0), F.concat(intro, F.lit(": «"), text, F.lit("»")), pick(1)).alias("post"))

@@ -16,6 +16,7 @@ from quoteverify.functions.normalize import bare, normalize, with_particles, wor
 from quoteverify.operators import cards, evaluate, locate, readings, search, segment, vectors, verdict
 from quoteverify.operators.index import Corpus, Postings, adjacent, bm25, tokens, vocabulary
 from quoteverify.registry import query
+from quoteverify.session import work_folder
 from quoteverify.sources import files
 from quoteverify.streaming import verify
 
@@ -126,13 +127,13 @@ def top_sql(boost: str) -> str:
 
 @query("q_bm25_top40", f"{top_sql('1.0')} SELECT q, doc, round(score, 4) AS score, rank FROM top")
 def q_bm25_top40(spark, sf_dir):
-    index = Postings.build(documents(spark, sf_dir))
+    index = Postings.build(documents(spark, sf_dir)).kept()
     return bm25(asked_items(spark, sf_dir), index).select("q", "doc", F.round("score", 4).alias("score"), "rank")
 
 
 @query("q_bm25_boosted", f"{top_sql('CASE WHEN length(term) >= 4 THEN 1.0 ELSE 0.9 END')} SELECT q, doc, round(score, 4) AS score, rank FROM top")
 def q_bm25_boosted(spark, sf_dir):
-    index = Postings.build(documents(spark, sf_dir))
+    index = Postings.build(documents(spark, sf_dir)).kept()
     asked = asked_items(spark, sf_dir).withColumn("boost", F.when(F.length("term") >= 4, 1.0).otherwise(0.9))
     return bm25(asked, index).select("q", "doc", F.round("score", 4).alias("score"), "rank")
 
@@ -145,7 +146,7 @@ def q_bm25_boosted(spark, sf_dir):
     FROM (SELECT q, doc FROM top) p JOIN weights USING (q) JOIN total USING (q) LEFT JOIN tf ON tf.doc = p.doc AND tf.term = weights.term GROUP BY q, p.doc""".replace("SELECT q, doc, round(sum(CASE", "SELECT q, p.doc AS doc, round(sum(CASE"),
 )
 def q_coverage(spark, sf_dir):
-    index = Postings.build(documents(spark, sf_dir))
+    index = Postings.build(documents(spark, sf_dir)).kept()
     asked = search.prepared(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text"), search.Collection(index), False)
     pairs = bm25(asked_items(spark, sf_dir), index)
     return search.coverage(asked, pairs, index).select("q", "doc", F.round("coverage", 4).alias("coverage"))
@@ -228,7 +229,15 @@ def q_self_check(spark, sf_dir):
     return locate.check(pieces, benchmark_corpus(spark, sf_dir)).select("piece", "status", "match_ratio")
 
 
-@query("q_tampered")
+_DRAW = "('0x' || substr(md5(concat_ws(':', item_id, '1', '{n}')), 1, 7))::BIGINT % {m}"
+
+
+@query(
+    "q_tampered",
+    f"""WITH w AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), d AS (SELECT item_id, len(w) AS n, {_DRAW.format(n=2, m=3)} AS op FROM w WHERE len(w) >= 3),
+    s AS (SELECT *, n - CASE WHEN op = 1 THEN 1 ELSE 0 END + CASE WHEN op = 2 THEN 1 ELSE 0 END AS size, CASE WHEN op = 2 THEN n ELSE n - 1 END AS matched FROM d)
+    SELECT CAST(item_id AS VARCHAR) AS piece, ['replace', 'delete', 'insert'][op + 1] AS op, CASE WHEN size < 3 THEN 'too_short' ELSE 'altered' END AS status, CASE WHEN size < 3 THEN 0.0 ELSE round_even(matched / size, 2) END AS match_ratio FROM s""",
+)
 def q_tampered(spark, sf_dir):
     """Each passage with one inner word replaced, left out or added, and what the check says."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", words(normalize(F.col("text"), "latin")).alias("words"))
@@ -240,14 +249,20 @@ def q_tampered(spark, sf_dir):
 @query("q_contained_passages", f"SELECT d.doc_id, b.item_id FROM (SELECT doc_id, {norm_sql('text')} AS norm FROM documents) d JOIN (SELECT item_id, {norm_sql('text')} AS norm FROM benchmark) b ON contains(d.norm, b.norm)")
 def q_contained_passages(spark, sf_dir):
     """Passages that stand in a document as they are. Inner words of a passage must be whole words of the document, so its
-    second and third word find the documents; only passages of three words or fewer meet all."""
+    second and third word find the documents. Of shorter passages the parts of words count that a document's words end or
+    begin with: the middle one of three words is a whole one, the first of two ends a word, a single one is in a word."""
     b = table(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text"), "latin").alias("norm")).withColumn("words", words(F.col("norm")))
     d = documents(spark, sf_dir).select("doc_id", normalize(F.col("text"), "latin").alias("hay")).withColumn("words", words(F.col("hay")))
     inner = b.where(F.size("words") > 3).select("item_id", "norm", F.get("words", F.lit(1)).alias("w1"), F.get("words", F.lit(2)).alias("w2"))
     pairs = adjacent(d, "doc_id").select("doc_id", "w1", "w2").distinct()
     long_ = pairs.join(inner, ["w1", "w2"]).select("doc_id", "item_id", "norm").join(d.select("doc_id", "hay"), "doc_id").where(F.contains("hay", F.col("norm"))).select("doc_id", "item_id")
-    short = d.join(b.where(F.size("words") <= 3).select("item_id", "norm"), F.contains("hay", F.col("norm"))).select("doc_id", "item_id")
-    return long_.unionByName(short)
+    short = b.where(F.size("words") <= 3).select("item_id", "norm", "words")
+    vocab = d.select(F.explode(F.array_distinct("words")).alias("word"))
+    met = vocab.distinct().join(F.broadcast(short), F.when(F.size("words") == 3, F.col("word") == F.get("words", F.lit(1))).when(F.size("words") == 2, F.endswith("word", F.get("words", F.lit(0)))).otherwise(F.contains("word", F.col("norm")))).select("word", "item_id", "norm") if short.limit(1).count() else None
+    if met is None:
+        return long_
+    holding = d.select("doc_id", F.explode(F.array_distinct("words")).alias("word")).join(met, "word").select("doc_id", "item_id", "norm").distinct()
+    return long_.unionByName(holding.join(d.select("doc_id", "hay"), "doc_id").where(F.contains("hay", F.col("norm"))).select("doc_id", "item_id"))
 
 
 CHAIN_SQL = f"""sp AS MATERIALIZED (SELECT DISTINCT w1, w2 FROM ({pairs_sql('benchmark', 'item_id')})), dp AS MATERIALIZED ({pairs_sql('documents', 'doc_id')}),
@@ -301,33 +316,45 @@ def q_best_reading(spark, sf_dir):
     return readings.best_reading(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image"), F.col("o_orderkey").alias("ordinal"), F.col("o_totalprice").alias("score")))
 
 
-def ascii_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q, word): the distinct ASCII words of the first line of each conversation's first turn."""
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    ws = words(normalize(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), "latin"))
-    return first.select(F.col("conv_id").alias("q"), F.explode(F.array_distinct(F.filter(ws, lambda w: F.rlike(w, F.lit("^[a-z]+$"))))).alias("word"))
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, text): every line of every turn; q is the conversation, the turn and the line."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select(F.concat_ws(":", "conv_id", "turn", "line").alias("q"), "text")
+
+
+def fragment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, word): the distinct words of each fragment."""
+    return fragments(spark, sf_dir).select("q", F.explode(F.array_distinct(words(normalize(F.col("text"), "latin")))).alias("word"))
 
 
-FRAGMENT_SQL = f"""asked AS MATERIALIZED (SELECT DISTINCT conv_id AS q, unnest(list_filter({words_sql("split_part(coalesce(text, ''), chr(10), 1)")}, lambda x: regexp_matches(x, '^[a-z]+$'))) AS word FROM (SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id)),
-    places AS MATERIALIZED (SELECT DISTINCT item_id, word AS v FROM ({tokens_sql('benchmark', 'item_id')}) WHERE regexp_matches(word, '^[a-z]+$')),
-    near AS (SELECT a.word, p.v, CASE WHEN a.word = p.v THEN 1.0 ELSE 0.8 END AS score FROM (SELECT DISTINCT word, CASE WHEN length(word) < 3 THEN 0 WHEN length(word) <= 5 THEN 1 ELSE 2 END AS k FROM asked) a JOIN (SELECT DISTINCT v FROM places) p ON abs(length(a.word) - length(p.v)) <= k AND (a.word = p.v OR (k > 0 AND levenshtein(a.word, p.v) <= k)))"""
+#: DuckDB's levenshtein counts bytes, so letters of two bytes get signs of one that no word has otherwise.
+_ONE_BYTE = "translate({}, 'éèñêíçóöüäßàâîôûëïùúáìòãõåæø', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ01')"
+FRAGMENT_SQL = f"""lines AS (SELECT concat_ws(':', conv_id, turn, unnest(range(len(s)))) AS q, unnest(s) AS text FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS s FROM conversations)),
+    asked AS MATERIALIZED (SELECT DISTINCT q, unnest({words_sql('text')}) AS word FROM lines),
+    places AS MATERIALIZED (SELECT DISTINCT item_id, word AS v FROM ({tokens_sql('benchmark', 'item_id')})),
+    known AS MATERIALIZED (SELECT DISTINCT v, {_ONE_BYTE.format('v')} AS b FROM places),
+    near AS MATERIALIZED (SELECT a.word, p.v, CASE WHEN a.word = p.v THEN 1.0 ELSE 0.8 END AS score FROM (SELECT DISTINCT word, {_ONE_BYTE.format('word')} AS b, CASE WHEN length(word) < 3 THEN 0 WHEN length(word) <= 5 THEN 1 ELSE 2 END AS k FROM asked) a JOIN known p ON abs(length(a.word) - length(p.v)) <= k AND (a.word = p.v OR (k > 0 AND levenshtein(a.b, p.b) <= k))),
+    best AS (SELECT q, word, item_id, max(score) AS score FROM asked JOIN near USING (word) JOIN places USING (v) GROUP BY ALL),
+    summed AS MATERIALIZED (SELECT q, item_id, CAST(round(sum(score), 6) AS DOUBLE) AS quality FROM best GROUP BY ALL)"""
 
 
 @query("q_near_words", f"WITH {FRAGMENT_SQL} SELECT word, v, CAST(score AS DOUBLE) AS score FROM near")
 def q_near_words(spark, sf_dir):
-    known = vocabulary(tokens(table(spark, sf_dir, "benchmark"), "item_id").where(F.rlike("word", F.lit("^[a-z]+$"))).select("word"))
-    return locate.near_words(ascii_fragments(spark, sf_dir), known)
+    known = vocabulary(tokens(table(spark, sf_dir, "benchmark"), "item_id").select("word"))
+    return locate.near_words(fragment_words(spark, sf_dir), known)
 
 
-@query(
-    "q_fragment_quality",
-    f"""WITH {FRAGMENT_SQL}, best AS (SELECT q, word, item_id, max(score) AS score FROM asked JOIN near USING (word) JOIN places USING (v) GROUP BY ALL),
-    s AS (SELECT q, item_id, CAST(round(sum(score), 6) AS DOUBLE) AS quality FROM best GROUP BY ALL)
-    SELECT q, item_id, quality FROM s QUALIFY quality >= max(quality) OVER (PARTITION BY q) - 0.5""",
-)
+@query("q_fragment_quality", f"WITH {FRAGMENT_SQL} SELECT q, item_id, quality FROM summed QUALIFY quality >= max(quality) OVER (PARTITION BY q) - 0.5")
 def q_fragment_quality(spark, sf_dir):
-    located = tokens(table(spark, sf_dir, "benchmark"), "item_id").where(F.rlike("word", F.lit("^[a-z]+$"))).select("word", F.lit("").alias("axis"), F.col("item_id").alias("chapter"), F.lit(1).alias("verse"))
-    return locate.fragment_quality(ascii_fragments(spark, sf_dir), located).select("q", F.col("chapter").alias("item_id"), "quality")
+    located = tokens(table(spark, sf_dir, "benchmark"), "item_id").select("word", F.lit("").alias("axis"), F.col("item_id").alias("chapter"), F.lit(1).alias("verse"))
+    return locate.fragment_quality(fragment_words(spark, sf_dir), located).select("q", F.col("chapter").alias("item_id"), "quality")
+
+
+@query("q_fragment_best", f"WITH {FRAGMENT_SQL}, n AS (SELECT q, count(*) AS words_asked FROM asked GROUP BY q) SELECT q, round_even(max(quality), 1) AS words_found, CAST(any_value(words_asked) AS INTEGER) AS words_asked FROM summed JOIN n USING (q) GROUP BY q")
+def q_fragment_best(spark, sf_dir):
+    """How many of a fragment's words its best passage has; which of equally good passages is first takes the fuzzy ratio."""
+    found = locate.search_fragment(fragments(spark, sf_dir), benchmark_corpus(spark, sf_dir), top=1)
+    return found.select("q", "words_found", "words_asked")
 
 
 @query("q_search_fragment")
@@ -340,12 +367,12 @@ def q_search_fragment(spark, sf_dir):
 
 @query(
     "q_range_join_text",
-    "SELECT CAST(conv_id AS VARCHAR) AS piece, string_agg(text || ' (' || turn || ')', ' ' ORDER BY turn) AS joined FROM conversations WHERE turn BETWEEN 1 AND 2 AND text IS NOT NULL GROUP BY conv_id",
+    "SELECT CAST(conv_id AS VARCHAR) AS piece, string_agg(text || ' (' || turn || ')', ' ' ORDER BY turn) AS joined FROM conversations WHERE text IS NOT NULL GROUP BY conv_id",
 )
 def q_range_join_text(spark, sf_dir):
     """Passages from one number to another joined in order, each with its number; turns stand for verses."""
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
-    located = rows.select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("piece"), F.col("conv_id").alias("chapter"), F.lit(1).alias("verse_from"), F.lit(2).alias("verse_to"))
+    located = rows.groupBy("conv_id").agg(F.min("turn").cast("int").alias("verse_from"), F.max("turn").cast("int").alias("verse_to")).select(F.col("conv_id").cast("string").alias("piece"), F.col("conv_id").alias("chapter"), "verse_from", "verse_to")
     return locate.passage_range(located, rows.select(F.col("conv_id").alias("chapter"), F.col("turn").cast("int").alias("verse"), "text"))
 
 
@@ -361,7 +388,7 @@ def q_cosine_topk(spark, sf_dir):
     return vectors.neighbours(v.where(F.col("word") % 100 == 0), v).select("word", "other", F.round("sim", 6).alias("sim"), "rank")
 
 
-@query("q_max_similarity", f"WITH {VECTOR_SQL} SELECT a.label AS q, a.vec_id AS word, round(max(list_cosine_similarity(a.e, b.e)), 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 100 <> 0 WHERE a.vec_id % 100 = 0 GROUP BY ALL")
+@query("q_max_similarity", f"WITH {VECTOR_SQL} SELECT a.label AS q, a.vec_id AS word, round(max(list_cosine_similarity(a.e, b.e)), 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL")
 def q_max_similarity(spark, sf_dir):
     """For each vector whose id is divisible by 100 the greatest similarity with the others of its label."""
     v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("q"), "vec_id", F.col("embedding").alias("vec"))
@@ -444,7 +471,10 @@ def q_router(spark, sf_dir):
     return rows.withColumn("misattributed", verdict.misattribution(quote, ~quote, F.col("marked"), F.col("as_quran"), F.col("qs"), F.col("hs"), F.lit(False)))
 
 
-@query("q_card_label")
+_LABELS = " ".join(f"WHEN kind = '{k}' AND v = '{v}' THEN '{label}'" for (k, v), label in C.CARD_LABELS.items())
+
+
+@query("q_card_label", f"SELECT kind, v, mis, qs, CASE WHEN mis = 'hadith_as_quran' THEN '{C.LABEL_SAYING_AS_VERSE}' WHEN mis = 'quran_as_hadith' THEN '{C.LABEL_VERSE_AS_SAYING}' WHEN kind = 'quran' AND qs = 'not_found' THEN CASE WHEN v = 'bad' THEN '{C.LABEL_NO_VERSE}' ELSE '{C.LABEL_CHECK_READING}' END {_LABELS} END AS label FROM (VALUES ('quran'), ('hadith')) a(kind), (VALUES ('ok'), ('warn'), ('bad')) b(v), (VALUES (''), ('hadith_as_quran'), ('quran_as_hadith')) c(mis), (VALUES ('verified'), ('altered'), ('not_found')) d(qs)")
 def q_card_label(spark, sf_dir):
     rows = spark.sql("SELECT * FROM (VALUES ('quran'), ('hadith')) a(kind), (VALUES ('ok'), ('warn'), ('bad')) b(v), (VALUES (''), ('hadith_as_quran'), ('quran_as_hadith')) c(mis), (VALUES ('verified'), ('altered'), ('not_found')) d(qs)")
     return rows.withColumn("label", verdict.card_label(F.col("kind"), F.col("v"), F.col("mis"), F.col("qs")))
@@ -545,8 +575,7 @@ _JUDGE = "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'none' WHEN to
 @query("q_judged", f"SELECT doc_id, CASE WHEN expect = 'none' THEN n_checked = 0 WHEN n_checked = 0 THEN false ELSE verdict = expect AND (category NOT LIKE 'ayah%' OR right_place) END AS ok FROM ({_JUDGE})")
 def q_judged(spark, sf_dir):
     """Whether reports meet labelled cases; labels stand for the cases."""
-    table(spark, sf_dir, "labels").createOrReplaceTempView("labels")
-    rows = spark.sql(_JUDGE)
+    rows = spark.sql(_JUDGE.replace("FROM labels", "FROM {labels}"), labels=table(spark, sf_dir, "labels"))
     return rows.select("doc_id", evaluate.judged(*map(F.col, ("expect", "category", "n_checked", "verdict", "right_place"))).alias("ok"))
 
 
@@ -564,10 +593,10 @@ def q_unique_passages(spark, sf_dir):
 
 @query("q_medians", "SELECT lang, CAST(median(n_chars) AS DOUBLE) AS median, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper FROM documents GROUP BY lang")
 def q_medians(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.median("n_chars").alias("median"), evaluate.upper_median("n_chars").alias("upper"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.median("n_chars").alias("median"), evaluate.upper_median("n_chars").cast("long").alias("upper"))
 
 
-@query("q_sampled_cases")
+@query("q_sampled_cases", "SELECT doc_id, lang FROM documents ORDER BY md5(concat_ws(':', doc_id, '2026')), doc_id LIMIT 100")
 def q_sampled_cases(spark, sf_dir):
     """One hundred documents in an order drawn by a seed (a sampling operator)."""
     return evaluate.sampled(table(spark, sf_dir, "documents"), "doc_id", 100, 2026).select("doc_id", "lang")
@@ -577,10 +606,7 @@ def q_sampled_cases(spark, sf_dir):
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    return verify.to_table(stream, f"{work_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("q_stream_hourly", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:00') AS hour, event_type AS verdict, count(*) AS n FROM events GROUP BY ALL")

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quoteverify import queries  # noqa: F401  registers them
+    from quoteverify import queries, queries_arabic  # noqa: F401  these register them
 
     return dict(QUERIES)
 

@@ -56,12 +56,24 @@ def first_that_answers(models: list, call: Callable, kind_of: Callable[[Exceptio
     raise errors.get("quota") or errors.get("last") or RuntimeError("no model")
 
 
-def lookup(texts: DataFrame, fetch: Callable[[str], str | None], pause: float = C.BREAKER_PAUSE) -> DataFrame:
+_breakers: dict[str, Breaker] = {}
+
+
+def shared_breaker(fetch: Callable[[str], str | None], pause: float, source: str) -> Breaker:
+    """The worker process's breaker of a source. Worker processes stay for a session, so a source that fails rests for all
+    later tasks of the process, not for the current one alone."""
+    if source not in _breakers:
+        _breakers[source] = Breaker(fetch, pause)
+    _breakers[source].call = fetch
+    return _breakers[source]
+
+
+def lookup(texts: DataFrame, fetch: Callable[[str], str | None], pause: float = C.BREAKER_PAUSE, source: str = "") -> DataFrame:
     """(text, entries, reached) of the distinct texts. Entries are null where the source was not reached, and empty where it
-    had none. The breaker holds for a task's rows."""
+    had none. A dead source costs one call a pause in each worker process; ``source`` names it where there are several."""
 
     def run(batches):
-        breaker = Breaker(fetch, pause)
+        breaker = shared_breaker(fetch, pause, source)
         for batch in batches:
             pages = [breaker(t) for t in batch.column("text").to_pylist()]
             entries = pa.array([None if p is None else parse_cards(p) for p in pages], pa.list_(pa.struct([(n, pa.string()) for n in ("text", "narrator", "scholar", "source", "number", "grade")])))

@@ -42,17 +42,38 @@ def run_batches(posts: DataFrame, analyze: Callable[[DataFrame], DataFrame], sin
     return posts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, number: sink(analyze(rows), number)).trigger(availableNow=True).start()
 
 
-def carried_flags(lines: DataFrame, key: str = "conv_id") -> DataFrame:
+def to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that a stream of files has now, as a Parquet table below ``folder`` with its checkpoint beside it; nothing passes
+    through the driver. Complete results replace the table with each batch; others add to it by Spark's file sink, which commits
+    each batch once."""
+    spark, table = stream.sparkSession, f"{folder}/table"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(table))
+    else:
+        out = out.format("parquet").option("path", table)
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(table)
+
+
+def carried_flags(lines: DataFrame, key: str = "conv_id", forget_after: int | None = None) -> DataFrame:
     """(conv_id, turn, flag, carried) with the flag of the turn before in the same conversation, kept as state across
-    batches. ``lines``: conv_id, turn, flag. Turns of a batch are taken in order."""
+    batches. ``lines``: conv_id, turn, flag. Turns of a batch are taken in order. A stream that runs on should name
+    ``forget_after``: the state of a conversation without news is dropped after so many milliseconds, and what comes later
+    starts without a flag. (A run over what there is now has no need of it, and would wait for it without end.)"""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(group, frames, state):
+        if forget_after and state.hasTimedOut:
+            state.remove()
+            return
         held = bool(state.get[0]) if state.exists else False
         rows = pd.concat(list(frames)).sort_values("turn")
         before = [held, *rows["flag"].tolist()]
         state.update((bool(before[-1]),))
+        if forget_after:
+            state.setTimeoutDuration(forget_after)
         yield pd.DataFrame({key: group[0], "turn": rows["turn"].tolist(), "flag": rows["flag"].tolist(), "carried": before[:-1]})
 
-    return lines.groupBy(key).applyInPandasWithState(step, f"{key} long, turn long, flag boolean, carried boolean", "flag boolean", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy(key).applyInPandasWithState(step, f"{key} long, turn long, flag boolean, carried boolean", "flag boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout)

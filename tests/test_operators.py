@@ -151,6 +151,23 @@ def test_readings(spark):
     assert [r.k for r in engines] == ["quota", "busy", "missing", "error", None]
 
 
+@pytest.mark.parametrize("first", [3, 60, 10**6])
+def test_pruned_scores_are_those_of_all_documents(spark, monkeypatch, first):
+    from quoteverify.operators import index
+
+    monkeypatch.setattr(index, "FIRST_POSTINGS", first)
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    weights = [1 / (k + 1) for k in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(draw.choices(words, weights, k=draw.randint(0, 30)))) for i in range(150)] + [(200, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, w, draw.choice([1.0, 0.9])) for q in range(12) for w in set(draw.choices(words, weights, k=draw.randint(1, 12)))] + [(50, "nowhere", 1.0)], "q long, term string, boost double")
+    built = index.Postings.build(docs.withColumn("text", F.translate("text", "0123456789", "abcdefghij")))
+    asked = asked.withColumn("term", F.translate("term", "0123456789", "abcdefghij"))
+    for top in (3, 40):
+        rows = lambda p: sorted(map(tuple, index.bm25(asked, p, top).collect()))  # noqa: B023, E731
+        assert rows(built.kept()) == rows(built) and len(rows(built)) >= 12 * 2
+
+
 def test_edit_distance_join_against_all_pairs(spark):
     draw = random.Random(2)
     word = lambda: "".join(draw.choice("abc") for _ in range(draw.randint(1, 9)))
@@ -268,6 +285,27 @@ def test_lookup_with_a_default(spark):
     assert [r.en for r in got] == ["one", ""]
 
 
+def test_a_dead_source_rests_for_the_whole_process():
+    from quoteverify.sources import external
+
+    calls = []
+
+    def dead(text):
+        calls.append(text)
+        raise OSError("down")
+
+    for _ in range(3):  # as three tasks of one worker process
+        assert external.shared_breaker(dead, 300, "test")("x") is None
+    assert len(calls) == 1
+
+
+def test_upper_median(spark):
+    for n in (1, 2, 3, 4, 5, 10, 101):
+        values = [random.Random(n).randint(0, 20) for _ in range(n)]
+        got = spark.createDataFrame([(v,) for v in values], "v long").agg(evaluate.upper_median("v").alias("m")).head().m
+        assert got == sorted(values)[n // 2]
+
+
 def test_streams_match_batches(spark, sf_dir):
     import __spark_entry__
 
