@@ -40,7 +40,9 @@ from .token_counts import word_lists
 
 RADIUS = 3
 #: Near duplicates by similarity: what is similar, in shingles of how many words, and the radius in which they are looked for.
-SIMILARITY, WORDS, WIDE = 0.8, 5, 8
+SIMILARITY, WORDS, WIDE = 0.8, 5, 6
+#: By how much the number of candidates that a text meets grows with each round.
+GROWTH = 16
 #: Fingerprints in a cell or chunk.
 CELL = 1024
 #: Fingerprints from which a cell is parted by its free bits, and how many of the blocks of these agree.
@@ -358,6 +360,15 @@ def similar_edges(docs: DataFrame, nodes: DataFrame, edges: DataFrame, similarit
     return out
 
 
+def _nearest(of: np.ndarray, differ: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest ones of their member ``of``."""
+    order = np.lexsort((differ, of))
+    start = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+    out = np.zeros(len(of), bool)
+    out[order] = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of)))) < most
+    return out
+
+
 def _candidates(active: DataFrame, masks: list[int], radius: int, most: int) -> DataFrame:
     """(u, v): for each text of ``active`` (node, fp, label, met) and cell the ``most`` nearest texts within the radius that
     have another label and were not met before."""
@@ -376,10 +387,8 @@ def _candidates(active: DataFrame, masks: list[int], radius: int, most: int) ->
                     i, j = i[new], j[new]
                 if not len(i):
                     continue
-                order = np.lexsort((np.bitwise_count(index.fps[i] ^ index.fps[j]), i))
-                i, j = i[order], j[order]
-                start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-                near = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < most
+                differ = np.bitwise_count(index.fps[i] ^ index.fps[j])
+                near = _nearest(i, differ, most) | _nearest(j, differ, most)  # so each text that has one meets one
                 u, v = node[i[near]], node[j[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
@@ -391,29 +400,32 @@ def similar_groups(docs: DataFrame, prints: DataFrame, similarity: float, shingl
     ``radius`` bits and their shingles have the similarity; linked texts share the root.
 
     Candidates come from the Gray index and are verified in rounds: in each, a text meets its nearest candidates of other
-    groups that it has not met; four times as many as in the round before. Those found similar join groups, which need not be
-    compared any more; it ends when no text has a candidate left. So no link is lost, and a group of n copies takes about n
-    comparisons rather than all its pairs."""
+    groups that it has not met, ``GROWTH`` times as many as in the round before. Those found similar join groups, which need
+    not be compared any more; it ends when no text has a candidate left. So no link is lost, and a group of n copies that are
+    alike takes about n comparisons rather than all its pairs."""
     nodes = written(prints.groupBy(F.col("same").alias("node")).agg(F.min("doc_id").alias("doc"), F.first("fp").alias("fp")), "nodes")
     masks = wide_blocks(nodes.count(), radius)
     active = nodes.select("node", "fp", F.col("node").alias("label"), F.lit(None).cast("array<long>").alias("met"))
-    links = met = roots = None
+    moves = []  # (label, root) of each round
     most = 1
     while True:
         edges = written(_candidates(active, masks, radius, most), "candidates")
         if not edges.limit(1).count():
             break
         compared = similar_edges(docs, nodes, edges, similarity, shingle)
-        met = compared if met is None else written(met.unionByName(compared), "met")
-        links = met.where("ok").select("u", "v")
-        roots = written(components(links), "roots")
-        sides = met.select("u", "v", "ok").unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"), "ok"))
-        known = sides.groupBy(F.col("u").alias("node")).agg(F.collect_list(F.when(~F.col("ok"), F.col("v"))).alias("met"))
-        active = written(nodes.select("node", "fp").join(known, "node").join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"), "met"), "active")
-        most *= 4
-    if roots is None:
-        return nodes.select(F.col("node").alias("same"), F.col("node").alias("root"))
-    return nodes.join(roots, "node", "left").select(F.col("node").alias("same"), F.coalesce("root", "node").alias("root"))
+        label = lambda name: active.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))  # noqa: B023, E731
+        links = compared.where("ok").join(label("u"), "u").join(label("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+        moves.append(written(components(links).select(F.col("node").alias("label"), "root"), "roots"))
+        sides = compared.select("u", "v", "ok").unionByName(compared.select(F.col("v").alias("u"), F.col("u").alias("v"), "ok"))
+        known = sides.groupBy(F.col("u").alias("node")).agg(F.collect_list(F.when(~F.col("ok"), F.col("v"))).alias("now"))
+        # a text that met none has no candidate in any later round
+        moved = active.join(known, "node").join(moves[-1], "label", "left").select("node", "fp", F.coalesce("root", "label").alias("label"), F.concat(F.coalesce("met", F.array().cast("array<long>")), "now").alias("met"))
+        active = written(moved, "active")
+        most *= GROWTH
+    roots = nodes.select(F.col("node").alias("same"), F.col("node").alias("root"))
+    for move in moves:
+        roots = roots.join(move.select(F.col("label").alias("root"), F.col("root").alias("__next")), "root", "left").select("same", F.coalesce("__next", "root").alias("root"))
+    return roots
 
 
 def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, radius: int = WIDE) -> DataFrame:

@@ -258,7 +258,7 @@ def plain_fingerprint_of(text, size):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)), set(parts)
 
 
-def plain_similar(rows, similarity=0.8, size=5, radius=8):
+def plain_similar(rows, similarity=0.8, size=5, radius=simhash.WIDE):
     """The first row of each group of texts that links connect: near in their fingerprints and similar in their shingles."""
     texts = sorted({t or "" for _, t in rows})
     of = {t: plain_fingerprint_of(t, size) for t in texts}
@@ -284,6 +284,7 @@ def plain_similar(rows, similarity=0.8, size=5, radius=8):
 def test_near_duplicates_by_similarity(make_docs, monkeypatch, cell, hot):
     monkeypatch.setattr(simhash, "CELL", cell)
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "GROWTH", 2 if cell == 8 else 16)
     draw = np.random.default_rng(5)
     word = lambda: f"w{draw.integers(0, 5000)}"
     rows = []
