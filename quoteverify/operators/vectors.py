@@ -53,9 +53,30 @@ def neighbours(asked: DataFrame, vectors: DataFrame, top: int = 8, block: int =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def greatest_similarity(asked: DataFrame, among: DataFrame, itself: bool = True) -> DataFrame:
+def greatest_similarity(asked: DataFrame, among: DataFrame, itself: bool = True, block: int = 4096) -> DataFrame:
     """(q, word, sim): the greatest cosine of each asked word with the words of its own query's list. ``asked``: q, word, vec;
-    ``among``: q, other, vec. ``itself``: whether a word of the list that is the asked one counts."""
-    met = asked.select("q", "word", unit(F.col("vec")).alias("a")).join(among.select("q", "other", unit(F.col("vec")).alias("b")), "q")
-    met = met if itself else met.where(F.col("word") != F.col("other"))
-    return met.groupBy("q", "word").agg(F.max(dot(F.col("a"), F.col("b"))).alias("sim"))
+    ``among``: q, other, vec. ``itself``: whether a word of the list that is the asked one counts. Both sides of a query are
+    dealt to groups of bounded size, and each pair of groups is one task's work: no pair of words is ever a row."""
+    import numpy as np
+    import pyarrow as pa
+
+    groups = lambda rows, name: rows.groupBy("q").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = groups(asked, "hs").join(groups(among, "gs"), "q")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = asked.select("q", "word", unit(F.col("vec")).alias("a")).join(sizes, "q").withColumn("h", F.pmod(F.xxhash64("word"), F.col("hs")).cast("int")).withColumn("g", every("gs"))
+    right = among.select("q", "other", unit(F.col("vec")).alias("b")).join(sizes, "q").withColumn("g", F.pmod(F.xxhash64("other"), F.col("gs")).cast("int")).withColumn("h", every("hs"))
+    types = dict(asked.dtypes)
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return a.select(["q", "word"]).slice(0, 0).append_column("sim", pa.array([], pa.float64()))
+        matrix = lambda vecs: np.array(vecs.to_pylist(), dtype=np.float64)
+        sims = matrix(a["a"]) @ matrix(b["b"]).T
+        if not itself:
+            sims[np.equal.outer(np.array(a["word"].to_pylist()), np.array(b["other"].to_pylist()))] = -np.inf
+        best = sims.max(axis=1)
+        some = np.isfinite(best)
+        return a.select(["q", "word"]).filter(pa.array(some)).append_column("sim", pa.array(best[some]))
+
+    found = left.select("q", "word", "a", "g", "h").groupBy("q", "g", "h").cogroup(right.select("q", "other", "b", "g", "h").groupBy("q", "g", "h")).applyInArrow(search, f"q {types['q']}, word {types['word']}, sim double")
+    return found.groupBy("q", "word").agg(F.max("sim").alias("sim"))

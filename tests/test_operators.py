@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quoteverify.functions.fuzzy import common_length, partial_ratio, ratio
 from quoteverify.functions.normalize import plain
-from quoteverify.operators import cards, evaluate, locate, readings, vectors
+from quoteverify.operators import search, cards, evaluate, locate, readings, vectors
 from quoteverify.sources import external, files
 
 
@@ -285,6 +285,19 @@ def test_lookup_with_a_default(spark):
     assert [r.en for r in got] == ["one", ""]
 
 
+def test_likely_words_leave_none_out():
+    from quoteverify.functions.fuzzy import ratio
+
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 9))) for _ in range(150)]
+    by_length = {}
+    for w in words:
+        by_length.setdefault(len(w), []).append(w)
+    for w in words[:60]:
+        like = {d for d in words if abs(len(d) - len(w)) <= 2 and ratio(w, d) >= 85}
+        assert like <= set(search._likely(w, by_length, 2, 85))
+
+
 def test_a_dead_source_rests_for_the_whole_process():
     from quoteverify.sources import external
 
