@@ -6,7 +6,10 @@ A document is contaminated by an item if one of its windows as long as the item
 1. Windows. The similarity asks for no order, so every window one item long counts, wherever in it the shingles lie. A
    match has at least 0.8 of the item's weight in common, so the places that hold an item's shingles are summed over each
    stretch of starts (every shingle counts in the n windows that cover it), and just the windows whose sum reaches that
-   are formed: no other can match. Equal windows are handled once, whatever number of documents has them.
+   are formed: no other can match. Shingles that other items have too are left out of that search, the most shared first, as
+   long as they make up a tenth of the item's weight at most, and the bound falls by what they weigh: a phrase of all items
+   doesn't bring all of them together with all documents that have it. Equal windows are handled once, whatever number of
+   documents has them.
 2. SimHash. Each distinct window and each item gets 64 bits: a bit is 1 if the weights of the shingles whose hash has it
    outweigh the others.
 3. Multi-index. The 64 bits fall into 8 blocks. Of two fingerprints within ``RADIUS`` = 23 bits, at least one block
@@ -38,6 +41,8 @@ from .common import texts_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 23, 8
+#: Share of an item's weight that its most shared shingles may have to be left out of the search for windows.
+SPARED = 0.1
 #: Rows of anchors up to which they are broadcast (about 50 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -78,8 +83,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     weighted = lambda rows: rows.join(weights, "h", "left").withColumn("weight", F.coalesce("weight", F.log(most)))
 
     item_rows = written(weighted(bench.select("item_id", F.explode("sh").alias("h"))), "item_rows")
-    needed = item_rows.groupBy("item_id").agg((F.sum("weight") * similarity).alias("needed"))
-    anchors = item_rows.distinct().join(needed, "item_id").join(bench.select("item_id", F.size("sh").alias("n")).distinct(), "item_id")
+    # what many items share comes first by weight and goes as long as little weight goes with it; the rest must hold the more
+    mass = item_rows.groupBy("item_id", "h").agg(F.sum("weight").alias("mass"), F.first("weight").alias("weight"))
+    whole = Window.partitionBy("item_id")
+    mass = mass.withColumn("total", F.sum("mass").over(whole)).withColumn("so_far", F.sum("mass").over(whole.orderBy("weight", "h")))
+    shared = (F.col("so_far") <= SPARED * F.col("total")) & (F.col("weight") < F.log(most) - 1e-9)
+    mass = mass.withColumn("spared", F.sum(F.when(shared, F.col("mass")).otherwise(0.0)).over(whole)).where(~shared)
+    anchors = mass.select("item_id", "h", "weight", (F.col("total") * similarity - F.col("spared")).alias("needed")).join(bench.select("item_id", F.size("sh").alias("n")).distinct(), "item_id")
     small = anchors.count() <= BROADCAST_ROWS
     places = texts_of(docs).select("doc_id", shingles(F.col("text")).alias("sh")).select("doc_id", F.size("sh").alias("size"), F.posexplode("sh").alias("p", "h"))
     hits = places.join(F.broadcast(anchors) if small else anchors, "h")

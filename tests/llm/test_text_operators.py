@@ -514,7 +514,10 @@ def test_decontamination_meets_every_window(spark, make_docs):
     a, b, d = ([f"{name}{k}" for k in range(30)] for name in "abd")
     long = [f"c{k}" for k in range(60)]
     items = [(1, a + b), (2, long), (3, [f"e{k}" for k in range(6)]), (4, ["r"] * 12 + d)]
+    asks = ["choose", "the", "right", "answer", "of", "these", "five"]  # what several items share
+    items += [(k, asks + [f"g{k}x{n}" for n in range(40)]) for k in range(5, 9)]
     bodies = [b + a, a + b, b[:28] + a, long[40:] + long[:40], long[30:] + long[:30], long[20:40] + long[:20] + long[40:], items[2][1], ["r"] * 30, d + ["r"] * 12, a, b + foreign(3) + a]
+    bodies += [items[5][1], items[6][1][7:] + asks, asks, items[7][1][:40], foreign(5) + asks + items[4][1][9:]]
     docs = [(k, foreign(25) + body + foreign(25)) for k, body in enumerate(bodies)] + [(50, b + a), (51, a + b[:25]), (52, foreign(9) + b + a + foreign(9) + a + b)]
     shingle = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
     of = {i: shingle(w) for i, w in items}
