@@ -78,5 +78,6 @@ def greatest_similarity(asked: DataFrame, among: DataFrame, itself: bool = True,
         some = np.isfinite(best)
         return a.select(["q", "word"]).filter(pa.array(some)).append_column("sim", pa.array(best[some]))
 
-    found = left.select("q", "word", "a", "g", "h").groupBy("q", "g", "h").cogroup(right.select("q", "other", "b", "g", "h").groupBy("q", "g", "h")).applyInArrow(search, f"q {types['q']}, word {types['word']}, sim double")
+    theirs = right.select(F.col("q").alias("their_q"), F.col("g").alias("their_g"), F.col("h").alias("their_h"), "other", "b")
+    found = left.select("q", "word", "a", "g", "h").groupBy("q", "g", "h").cogroup(theirs.groupBy("their_q", "their_g", "their_h")).applyInArrow(search, f"q {types['q']}, word {types['word']}, sim double")
     return found.groupBy("q", "word").agg(F.max("sim").alias("sim"))
