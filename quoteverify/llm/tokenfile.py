@@ -14,7 +14,7 @@ The shards are written by Spark's own writer, so a lost task leaves no half file
 only because that writer puts the bytes of a column into a file as they are.
 
 Edge cases: a null or empty text holds the end id alone; rows with a null doc_id take no part; repeated doc_ids stand
-beside each other, shorter first, then by a hash of the text; texts that hold one of the tokenizer's added tokens follow
+beside each other, shorter first; texts that hold one of the tokenizer's added tokens follow
 the library's defaults; an empty table writes no shard and reads back as no rows.
 """
 
@@ -113,8 +113,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if held:
             yield flush()
 
-    by = ("doc_id", F.length("text"), F.xxhash64("text"))  # rows of one doc_id may fill more than one partition
-    ordered = texts_of(docs).repartitionByRange(max(2, parallelism(spark)), *by).sortWithinPartitions(*by)
+    ordered = texts_of(docs).repartitionByRange(max(2, parallelism(spark)), "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
     ordered.mapInArrow(tokenize, "shard string, part int, before long, n long, doc_ids binary, lengths binary, ids binary").write.option("compression", "zstd").parquet(raw)
     table = spark.read.parquet(raw)
     kind = "<u2" if size <= 1 << 16 else "<u4"
