@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quoteverify.functions import constants as C
-from quoteverify.functions.normalize import normalize, plain, words
+from quoteverify.functions.normalize import normalize, once, plain, words
 
 
 def has_any(text: Column, parts) -> Column:
@@ -67,8 +67,10 @@ def says_god_speaks(text: Column) -> Column:
 def shares_most_words(text: Column, passage: Column) -> Column:
     """At least two words that carry meaning, and three in five of them stand in the passage; repeated words count."""
     kept = F.filter(words(normalize(text)), lambda w: (F.length(w) >= 3) & ~w.isin(*C.COMMON_WORDS))
-    there = words(normalize(passage))
-    return (F.size(kept) >= 2) & (F.size(F.filter(kept, lambda w: F.array_contains(there, w))) >= 0.6 * F.size(kept))
+    found = lambda s: F.filter(s["kept"], lambda w: F.array_contains(s["both"], w))
+    both = lambda s: F.struct(s["kept"].alias("kept"), F.array_intersect(s["kept"], s["there"]).alias("both"))
+    shares = lambda s: (F.size(s["kept"]) >= 2) & (F.size(found(s)) >= 0.6 * F.size(s["kept"]))
+    return once(F.struct(kept.alias("kept"), words(normalize(passage)).alias("there")), lambda s: once(both(s), shares))
 
 
 def reading_slip(from_image: Column, differences: Column, text: Column, correct_text: Column, uncertain: Column) -> Column:
