@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -20,6 +23,12 @@ ALIGNED = f"struct<matched:int,longest:int,chapter:int,verse_from:int,verse_to:i
 CHECKED = f"piece string, status string, match_ratio double, longest_run int, layer int, axis string, chapter int, verse_from int, verse_to int, differences array<{DIFFERENCE}>"
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0]+1, … for lengths[0] places, then the same for the next start."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def query_words(pieces: DataFrame, corpus: Corpus) -> DataFrame:
     """(piece, layer, q, n): each piece's words in each layer's spelling."""
     spelled = [F.struct(F.lit(layer).alias("layer"), words(normalize(F.coalesce(F.col("text"), F.lit("")), corpus.profile, uthmani)).alias("q")) for layer, uthmani in corpus.layers.items()]
@@ -160,25 +169,86 @@ def near_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return equal.unionByName(near)
 
 
+#: Fragments that are scored together, passages in whose words they are looked up at once, and sums made at once.
+BLOCK, RANGE, SUMS = 4096, 1 << 14, 4 << 20
+
+
+def _summed(lines: pa.Table, posts: pa.Table) -> pa.Table:
+    """(q, passage, quality): the scores of a block's fragments (q, ws) in some passages, of which ``posts`` has each word's
+    (word, passages, scores); those within the band of the fragment's best."""
+    ws, posting = lines["ws"].combine_chunks(), posts["passages"].combine_chunks()
+    flat = pc.index_in(ws.flatten(), value_set=posts["word"].combine_chunks())
+    line = np.repeat(np.arange(len(ws)), pc.list_value_length(ws).to_numpy())[flat.is_valid().to_numpy(zero_copy_only=False)]
+    word = flat.drop_null().to_numpy()
+    passages, local = np.unique(posting.flatten().to_numpy(), return_inverse=True)
+    scores = posts["scores"].combine_chunks().flatten().to_numpy()
+    many = pc.list_value_length(posting).to_numpy().astype(np.int64)
+    begin, made = np.cumsum(many) - many, np.cumsum(many[word])
+    of_q, of_passage, quality, at = [], [], [], 0
+    while at < len(line):
+        # as many whole fragments as make few sums, one at least
+        to = int(np.searchsorted(made, (made[at - 1] if at else 0) + SUMS, side="right"))
+        to = max(int(np.searchsorted(line, line[to])) if to < len(line) else to, int(np.searchsorted(line, line[at], side="right")))
+        part, first = word[at:to], line[at]
+        key = np.repeat((line[at:to] - first) * len(passages), many[part]) + local[ranges(begin[part], many[part])]
+        each, place = np.unique(key, return_inverse=True)
+        total = np.round(np.bincount(place, weights=scores[ranges(begin[part], many[part])]), 6)
+        row = each // len(passages)
+        best = np.zeros(int(row.max(initial=0)) + 1)
+        np.maximum.at(best, row, total)
+        good = total >= best[row] - C.FRAGMENT_BAND
+        of_q.append(row[good] + first)
+        of_passage.append(passages[each[good] % len(passages)])
+        quality.append(total[good])
+        at = to
+    whole = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+    return lines.select(["q"]).take(pa.array(whole(of_q, np.int64))).append_column("passage", pa.array(whole(of_passage, np.int64))).append_column("quality", pa.array(whole(quality, np.float64)))
+
+
 def fragment_quality(asked: DataFrame, located_words: DataFrame) -> DataFrame:
     """(q, axis, chapter, verse, quality): for each word the best score in a verse, summed; those within half a point of the
-    query's best. ``asked``: q, word (distinct); ``located_words``: word, axis, chapter, verse."""
-    near = near_words(asked, located_words)
-    places = located_words.select(F.col("word").alias("v"), "axis", "chapter", "verse").distinct()
-    by_word = asked.join(near, "word").join(places, "v").groupBy("q", "word", "axis", "chapter", "verse").agg(F.max("score").alias("score"))
-    summed = by_word.groupBy("q", "axis", "chapter", "verse").agg(F.round(F.sum("score"), 6).alias("quality"))
-    top = F.max("quality").over(Window.partitionBy("q"))
-    return summed.withColumn("top", top).where(F.col("quality") >= F.col("top") - C.FRAGMENT_BAND).drop("top")
+    query's best. ``asked``: q, ws (distinct words); ``located_words``: word, axis, chapter, verse.
+
+    The places of a word and of its neighbours are found once for all fragments. Blocks of fragments get the places of their
+    words once, so no row is made for each word of a fragment and each passage that has it."""
+    return _quality(held(_merged(asked)), located_words)
+
+
+def _merged(asked: DataFrame) -> DataFrame:
+    """A row for each q, with all its words."""
+    return asked.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("ws")).where(F.size("ws") > 0)
+
+
+def _quality(asked: DataFrame, located_words: DataFrame) -> DataFrame:
+    located_words = held(located_words.distinct())
+    passages = held(located_words.select("axis", "chapter", "verse").distinct().withColumn("passage", F.monotonically_increasing_id()))
+    blocks, parts = -(-asked.count() // BLOCK) or 1, -(-passages.count() // RANGE) or 1
+    part = F.pmod(F.xxhash64("passage"), F.lit(parts)).alias("part")
+    near = near_words(asked.select(F.explode("ws").alias("word")), located_words)
+    there = located_words.join(passages, ["axis", "chapter", "verse"]).select(F.col("word").alias("v"), "passage")
+    best = near.join(there, "v").groupBy("word", "passage").agg(F.max("score").alias("score"))
+    posts = best.groupBy("word", part).agg(F.collect_list(F.struct("passage", "score")).alias("p")).select("word", "part", F.col("p.passage").alias("passages"), F.col("p.score").alias("scores"))
+    lines = asked.select("q", "ws", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"))
+    of_block = lines.select(F.col("block").alias("asking"), F.explode("ws").alias("word")).distinct().join(posts, "word")
+    every = lines.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
+    kind = lines.select("q").schema.add("passage", "long").add("quality", "double")
+    summed = every.groupBy("block", "part").cogroup(of_block.groupBy("asking", "part")).applyInArrow(_summed, kind)
+    if parts > 1:
+        summed = summed.withColumn("top", F.max("quality").over(Window.partitionBy("q"))).where(F.col("quality") >= F.col("top") - C.FRAGMENT_BAND)
+    return summed.join(passages, "passage").select("q", "axis", "chapter", "verse", "quality")
 
 
 def search_fragment(fragments: DataFrame, corpus: Corpus, top: int = 5) -> DataFrame:
     """(q, rank, axis, chapter, verse, words_found, words_asked): the passages that hold the most of a fragment's words, a
-    letter or two misread; words close together come first, then the shorter passage."""
+    letter or two misread; words close together come first, then the shorter passage. How close they are is asked only where
+    passages with as many words contend for a place."""
     layer = min(corpus.layers)
-    asked = fragments.select("q", F.array_distinct(words(normalize(F.coalesce(F.col("text"), F.lit("")), corpus.profile))).alias("ws"))
+    asked = held(_merged(fragments.select("q", words(normalize(F.coalesce(F.col("text"), F.lit("")), corpus.profile)).alias("ws"))))
     entries = corpus.chunks.where(F.col("layer") == layer).select("axis", F.explode("entries").alias("e")).select("axis", "e.word", "e.chapter", "e.verse")
-    good = fragment_quality(asked.select("q", F.explode("ws").alias("word")), entries)
+    by_words = Window.partitionBy("q").orderBy(F.desc("quality"))
+    good = _quality(asked, entries).withColumn("place", F.rank().over(by_words)).where(F.col("place") <= top).withColumn("even", F.count("*").over(Window.partitionBy("q", "place")))
     texts = corpus.passages.where(F.col("layer") == layer).select("axis", "chapter", "verse", normalize(F.col("text"), corpus.profile).alias("norm"))
-    ranked = good.join(texts, ["axis", "chapter", "verse"]).join(asked, "q").withColumn("partial", fuzz_partial_ratio(F.array_join("ws", " "), F.col("norm")))
+    said = F.when(F.col("even") > 1, F.array_join("ws", " "))
+    ranked = good.join(texts, ["axis", "chapter", "verse"]).join(asked, "q").withColumn("partial", fuzz_partial_ratio(said, F.col("norm")))
     order = Window.partitionBy("q").orderBy(F.desc("quality"), F.desc("partial"), F.length("norm"), "chapter", "verse")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("q", "rank", "axis", "chapter", "verse", F.bround("quality", 1).alias("words_found"), F.size("ws").alias("words_asked"))

@@ -324,7 +324,11 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fragment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, word): the distinct words of each fragment."""
-    return fragments(spark, sf_dir).select("q", F.explode(F.array_distinct(words(normalize(F.col("text"), "latin")))).alias("word"))
+    return fragment_lists(spark, sf_dir).select("q", F.explode("ws").alias("word"))
+
+
+def fragment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments(spark, sf_dir).select("q", F.array_distinct(words(normalize(F.col("text"), "latin"))).alias("ws"))
 
 
 #: DuckDB's levenshtein counts bytes, so letters of two bytes get signs of one that no word has otherwise.
@@ -347,7 +351,7 @@ def q_near_words(spark, sf_dir):
 @query("q_fragment_quality", f"WITH {FRAGMENT_SQL} SELECT q, item_id, quality FROM summed QUALIFY quality >= max(quality) OVER (PARTITION BY q) - 0.5")
 def q_fragment_quality(spark, sf_dir):
     located = tokens(table(spark, sf_dir, "benchmark"), "item_id").select("word", F.lit("").alias("axis"), F.col("item_id").alias("chapter"), F.lit(1).alias("verse"))
-    return locate.fragment_quality(fragment_words(spark, sf_dir), located).select("q", F.col("chapter").alias("item_id"), "quality")
+    return locate.fragment_quality(fragment_lists(spark, sf_dir), located).select("q", F.col("chapter").alias("item_id"), "quality")
 
 
 @query("q_fragment_best", f"WITH {FRAGMENT_SQL}, n AS (SELECT q, count(*) AS words_asked FROM asked GROUP BY q) SELECT q, round_even(max(quality), 1) AS words_found, CAST(any_value(words_asked) AS INTEGER) AS words_asked FROM summed JOIN n USING (q) GROUP BY q")

@@ -30,3 +30,41 @@ def test_an_answer_of_many_lines(spark):
     found = rows.select(readings.tidied(F.col("text")).alias("tidy"), "expected")
     assert seconds(found.select("tidy")) < 3
     assert all(r["tidy"] == r["expected"] for r in found.collect())
+
+
+def test_parts_at_the_ends_of_a_window_cost_one_pass(monkeypatch):
+    from quoteverify.functions import fuzzy
+
+    calls, plain = [], fuzzy.ratio
+    monkeypatch.setattr(fuzzy, "ratio", lambda a, b: calls.append(1) or plain(a, b))
+    a, b = "the quick brown fox jumps over it " * 4, "a lazy dog that sleeps under trees " * 6
+    cuts = [*(b[s : s + len(a)] for s in range(len(b) - len(a) + 1)), *(b[:k] for k in range(1, len(a))), *(b[-k:] for k in range(1, len(a)))]
+    assert fuzzy.partial_ratio(a, b) == max(plain(a, x) for x in cuts)
+    assert len(calls) <= 2
+
+
+def test_blocks_of_fragments_are_summed_as_plainly(monkeypatch):
+    """The places of a word are met by blocks of fragments, a bounded number of sums at once."""
+    import random
+
+    import pyarrow as pa
+
+    from quoteverify.operators import locate
+
+    draw = random.Random(3)
+    posts = {f"w{i}": {p: draw.choice((1.0, 0.8)) for p in draw.sample(range(100, 130), 6)} for i in range(12)}
+    lines = {f"q{i}": draw.sample([*posts, "x", "y"], draw.randint(1, 8)) for i in range(40)}
+    expected = set()
+    for q, ws in lines.items():
+        sums = {}
+        for w in ws:
+            for p, score in posts.get(w, {}).items():
+                sums[p] = round(sums.get(p, 0) + score, 6)
+        expected |= {(q, p, s) for p, s in sums.items() if s >= max(sums.values()) - 0.5}
+    asked = pa.table({"q": list(lines), "ws": list(lines.values())})
+    there = pa.table({"word": list(posts), "passages": pa.array([list(x) for x in posts.values()], pa.list_(pa.int64())), "scores": [list(x.values()) for x in posts.values()]})
+    for bound in (1, 50, 1 << 20):
+        monkeypatch.setattr(locate, "SUMS", bound)
+        got = locate._summed(asked, there).to_pylist()
+        assert {(r["q"], r["passage"], r["quality"]) for r in got} == expected and len(got) == len(expected)
+    assert locate._summed(asked, there.slice(0, 0)).num_rows == 0
