@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteverify.session import ship, work_folder
+from quoteverify.session import ship, shuffles_dropped, work_folder
 
 #: Text bytes that a Python worker handles at once, and that Arrow passes at once; a longer single text is still taken whole.
 SLICE_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
@@ -51,18 +50,6 @@ def drop_table(table: DataFrame) -> None:
     drop_path(table.sparkSession, table.work_path)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """A query that starts in here drops its shuffle files as it ends, since its result is a table."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,10 +16,12 @@ from quoteverify.functions import constants as C
 from quoteverify.functions.fuzzy import edits_allowed, fuzz_partial_ratio, ratio
 from quoteverify.functions.normalize import normalize, words
 from quoteverify.operators.index import CHUNK, Corpus
-from quoteverify.session import held
+from quoteverify.session import held, shuffles_dropped, work_table
 
 DIFFERENCE = "struct<kind:string,written:string,correct:string,chapter:int,verse:int>"
 ALIGNED = f"struct<matched:int,longest:int,chapter:int,verse_from:int,verse_to:int,differences:array<{DIFFERENCE}>>"
+#: Pieces of a slice, as long as there are no more slices than the second.
+SLICE, SLICES = 50_000, 32
 CHECKED = f"piece string, status string, match_ratio double, longest_run int, layer int, axis string, chapter int, verse_from int, verse_to int, differences array<{DIFFERENCE}>"
 
 
@@ -115,8 +117,23 @@ def align_words(q: Column | str, window: Column | str) -> Column:
 
 def check(pieces: DataFrame, corpus: Corpus) -> DataFrame:
     """``pieces`` (piece, text) against the corpus: CHECKED, a row for each piece. A candidate goes to the alignment only
-    if enough of the piece's words occur in its window at all, which bounds the words that can match."""
-    asked = held(query_words(pieces, corpus))
+    if enough of the piece's words occur in its window at all, which bounds the words that can match.
+
+    Places and windows take far more room than the pieces. So many pieces are checked in slices, one after the other, each of
+    which drops its shuffle files: the room needed at once is that of a slice."""
+    spark, slices = pieces.sparkSession, max(1, min(SLICES, -(-pieces.count() // SLICE)))
+    asked = held(query_words(pieces, corpus).withColumn("slice", F.pmod(F.xxhash64("piece"), F.lit(slices)).cast("int")), "asked", by="slice")
+    if slices == 1:
+        return _check(asked.drop("slice"), corpus)
+    path = work_table(spark, "checked")
+    for k in range(slices):
+        with shuffles_dropped(spark):
+            checked = _check(asked.where(F.col("slice") == k).drop("slice"), corpus)
+            checked.write.mode("append").parquet(path)
+    return spark.read.schema(checked.schema).parquet(path)
+
+
+def _check(asked: DataFrame, corpus: Corpus) -> DataFrame:
     first = min(corpus.layers)
     short = asked.where(F.col("layer") == first).select("piece", (F.col("n") < C.MIN_WORDS).alias("short"))
     long_ = asked.where(F.col("n") >= C.MIN_WORDS)

@@ -68,3 +68,21 @@ def test_blocks_of_fragments_are_summed_as_plainly(monkeypatch):
         got = locate._summed(asked, there).to_pylist()
         assert {(r["q"], r["passage"], r["quality"]) for r in got} == expected and len(got) == len(expected)
     assert locate._summed(asked, there.slice(0, 0)).num_rows == 0
+
+
+def test_pieces_checked_in_slices(spark, monkeypatch):
+    """Slices of pieces give what one go gives, and leave no shuffle files behind."""
+    from quoteverify.operators import locate
+    from quoteverify.operators.index import Corpus
+
+    verses = spark.createDataFrame([(0, 1, 1, "one two three four five"), (0, 1, 2, "six seven eight nine ten"), (0, 2, 1, "one two six seven zero")], "layer int, chapter int, verse int, text string")
+    pieces = spark.createDataFrame([("a", "two three four"), ("b", "four five six seven"), ("c", "one two"), ("d", "six seven nine ten"), ("e", "x y z q"), ("f", None)], "piece string, text string")
+    corpus = Corpus.build(verses, "latin", axis=F.col("chapter"))
+    whole = {r["piece"]: r for r in locate.check(pieces, corpus).collect()}
+    monkeypatch.setattr(locate, "SLICE", 2)
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for n in local.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before = shuffles()
+    sliced = locate.check(pieces, corpus)
+    assert shuffles() <= before
+    assert {r["piece"]: r for r in sliced.collect()} == whole and len(whole) == 6
