@@ -86,3 +86,13 @@ def test_pieces_checked_in_slices(spark, monkeypatch):
     sliced = locate.check(pieces, corpus)
     assert shuffles() <= before
     assert {r["piece"]: r for r in sliced.collect()} == whole and len(whole) == 6
+
+
+def test_a_fragment_on_several_rows_is_one_fragment(spark):
+    from quoteverify.operators import locate
+    from quoteverify.operators.index import Corpus
+
+    verses = spark.createDataFrame([(0, 1, 1, "one two three four five"), (0, 1, 2, "six seven eight nine ten")], "layer int, chapter int, verse int, text string")
+    asked = spark.createDataFrame([("a", "one two"), ("a", "two three"), ("b", "nine"), ("c", "")], "q string, text string")
+    found = locate.search_fragment(asked, Corpus.build(verses, "latin", axis=F.col("chapter")), top=1).collect()
+    assert {(r["q"], r["verse"], r["words_found"], r["words_asked"]) for r in found} == {("a", 1, 3.0, 3), ("b", 2, 1.0, 1)} and len(found) == 2
