@@ -167,22 +167,38 @@ def reference(name, verse_from, verse_to):
     return F.when(verse_from == verse_to, F.concat_ws(" ", name, verse_from)).otherwise(F.concat(name, F.lit(" "), verse_from, F.lit("–"), verse_to))
 
 
+#: Words of a vocabulary whose parts go to all tasks.
+LISTED = 50_000
+
+
+def _letters(word: str) -> Column:
+    """The set of a word's letters, as bits that letters may share."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(bit(c)))
+
+
 def near_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, v, score): vocabulary words equal to a word (1.0) or within its edits (0.8).
 
     A vocabulary word cut into k + 1 even parts keeps one of them whole under k edits, at most k places away. Parts are
-    joined as equal keys with the length, so no word meets the whole vocabulary or all words of a length."""
-    known = vocabulary.select(F.col("word").alias("v")).distinct()
-    wanted = asked.select("word").distinct()
+    joined as equal keys with the length, so no word meets the whole vocabulary or all words of a length. An edit puts at
+    most one letter in and takes one out, so words whose letters differ by more than that are told apart before their
+    distance is asked. The parts of a vocabulary of at most ``LISTED`` words go to all tasks; others are shuffled."""
+    known = held(vocabulary.select(F.col("word").alias("v")).distinct())
+    listed = F.broadcast if known.count() <= LISTED else lambda rows: rows
+    # a word makes many probes, so few words are work for all cores
+    wanted = asked.select("word").distinct().repartition(2 * asked.sparkSession.sparkContext.defaultParallelism)
     equal = wanted.join(known, F.col("word") == F.col("v")).select("word", "v", F.lit(C.FRAGMENT_EXACT).alias("score"))
     cut = lambda size, k, i: F.floor(size * i / (k + 1)).cast("int")
-    parts = known.select("v", F.length("v").alias("len"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).where("len > k").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    parts = parts.select("v", "len", "k", "i", F.substring(F.col("v"), cut(F.col("len"), F.col("k"), F.col("i")) + 1, cut(F.col("len"), F.col("k"), F.col("i") + 1) - cut(F.col("len"), F.col("k"), F.col("i"))).alias("part"))
-    sized = wanted.withColumn("k", edits_allowed(F.col("word"))).where("k > 0").select("word", "k", F.explode(F.sequence(F.length("word") - F.col("k"), F.length("word") + F.col("k"))).alias("len")).where("len > k").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    parts = known.select("v", _letters("v").alias("of_v"), F.length("v").alias("len"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).where("len > k").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    parts = parts.select("v", "of_v", "len", "k", "i", F.substring(F.col("v"), cut(F.col("len"), F.col("k"), F.col("i")) + 1, cut(F.col("len"), F.col("k"), F.col("i") + 1) - cut(F.col("len"), F.col("k"), F.col("i"))).alias("part"))
+    sized = wanted.withColumn("k", edits_allowed(F.col("word"))).where("k > 0").select("word", _letters("word").alias("of_word"), "k", F.explode(F.sequence(F.length("word") - F.col("k"), F.length("word") + F.col("k"))).alias("len")).where("len > k").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     start, size = cut(F.col("len"), F.col("k"), F.col("i")), cut(F.col("len"), F.col("k"), F.col("i") + 1) - cut(F.col("len"), F.col("k"), F.col("i"))
-    probes = sized.select("word", "k", "len", "i", size.alias("size"), F.explode(F.sequence(start - F.col("k"), start + F.col("k"))).alias("at")).where("at >= 0 AND at + size <= length(word)")
-    met = probes.select("word", "k", "len", "i", F.substring(F.col("word"), F.col("at") + 1, F.col("size")).alias("part")).distinct().join(parts, ["k", "len", "i", "part"]).select("word", "v", "k").distinct()
-    near = met.where((F.col("v") != F.col("word")) & (F.levenshtein("v", "word") <= F.col("k"))).select("word", "v", F.lit(C.FRAGMENT_NEAR).alias("score"))
+    probes = sized.select("word", "of_word", "k", "len", "i", size.alias("size"), F.explode(F.sequence(start - F.col("k"), start + F.col("k"))).alias("at")).where("at >= 0 AND at + size <= length(word)")
+    probes = probes.select("word", "of_word", "k", "len", "i", F.substring(F.col("word"), F.col("at") + 1, F.col("size")).alias("part"))
+    alike = (F.col("v") != F.col("word")) & (F.bit_count(F.col("of_v").bitwiseXOR(F.col("of_word"))) <= 2 * F.col("k"))
+    met = probes.join(listed(parts), ["k", "len", "i", "part"]).where(alike).select("word", "v", "k").distinct()
+    near = met.where(F.levenshtein("v", "word", 2).between(0, F.col("k"))).select("word", "v", F.lit(C.FRAGMENT_NEAR).alias("score"))
     return equal.unionByName(near)
 
 
@@ -208,8 +224,14 @@ def _summed(lines: pa.Table, posts: pa.Table) -> pa.Table:
         to = max(int(np.searchsorted(line, line[to])) if to < len(line) else to, int(np.searchsorted(line, line[at], side="right")))
         part, first = word[at:to], line[at]
         key = np.repeat((line[at:to] - first) * len(passages), many[part]) + local[ranges(begin[part], many[part])]
-        each, place = np.unique(key, return_inverse=True)
-        total = np.round(np.bincount(place, weights=scores[ranges(begin[part], many[part])]), 6)
+        score, room = scores[ranges(begin[part], many[part])], (int(line[to - 1] - first) + 1) * len(passages)
+        if room <= max(SUMS, 2 * len(key)):  # a place for each sum, without sorting
+            total = np.round(np.bincount(key, weights=score, minlength=room), 6)
+            each = np.flatnonzero(total)
+            total = total[each]
+        else:
+            each, place = np.unique(key, return_inverse=True)
+            total = np.round(np.bincount(place, weights=score), 6)
         row = each // len(passages)
         best = np.zeros(int(row.max(initial=0)) + 1)
         np.maximum.at(best, row, total)

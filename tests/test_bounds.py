@@ -96,3 +96,50 @@ def test_a_fragment_on_several_rows_is_one_fragment(spark):
     asked = spark.createDataFrame([("a", "one two"), ("a", "two three"), ("b", "nine"), ("c", "")], "q string, text string")
     found = locate.search_fragment(asked, Corpus.build(verses, "latin", axis=F.col("chapter")), top=1).collect()
     assert {(r["q"], r["verse"], r["words_found"], r["words_asked"]) for r in found} == {("a", 1, 3.0, 3), ("b", 2, 1.0, 1)} and len(found) == 2
+
+
+def test_partial_ratios_of_many_pairs_at_once(monkeypatch):
+    """Pairs that are met together have the ratios that each has alone, without a pass for each window."""
+    import random
+
+    from quoteverify.functions import fuzzy
+
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("abcdé ") for _ in range(n))
+    pairs = [(text(draw.choice((0, 1, 2, 7, 7, 30, 63, 64, 65, 90))), text(draw.choice((0, 1, 7, 30, 64, 66, 200)))) for _ in range(400)]
+    expected = [fuzzy.partial_ratio(a, b) for a, b in pairs]
+    for bound in (1, 1000, 1 << 15):
+        monkeypatch.setattr(fuzzy, "WINDOWS", bound)
+        assert fuzzy.partial_ratios([None, *pairs]) == [None, *expected]
+    calls, plain = [], fuzzy.common_length
+    monkeypatch.setattr(fuzzy, "common_length", lambda a, b: calls.append(1) or plain(a, b))
+    fuzzy.partial_ratios([("the quick brown fox jumps", "a lazy dog sleeps under trees " * 5)] * 100)
+    assert not calls
+
+
+def test_near_words_are_told_apart_by_letters(spark, monkeypatch):
+    """Words a letter or two off are met, and no others, whether the vocabulary goes to all tasks or not; distances are asked
+    only of words whose letters allow it."""
+    import itertools
+
+    from quoteverify.operators import locate
+
+    known = ["".join(x) for x in itertools.product("ab", "cd", "ef", "gh", "éi", "kl", "mn")] + ["ab", "abc", "abcd", "الله"]
+    asked = ["acegékm", "cegékm", "acegékmxy", "bdfhiln", "xyacegé", "abd", "ab", "acegék", "acxgékm", "caegékm", "اله", "q"]
+    rows = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    allowed = lambda w: 0 if len(w) < 3 else 1 if len(w) <= 5 else 2
+    expected = {(w, v, 1.0 if w == v else 0.8) for w in asked for v in known if distance(w, v) <= allowed(w)}
+    for bound in (0, 50_000):
+        monkeypatch.setattr(locate, "LISTED", bound)
+        found = locate.near_words(rows(asked), rows(known))
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+        assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
