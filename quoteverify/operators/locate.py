@@ -115,34 +115,70 @@ def align_words(q: Column | str, window: Column | str) -> Column:
     return pandas_udf(_align, ALIGNED)(q, window)
 
 
-def check(pieces: DataFrame, corpus: Corpus) -> DataFrame:
-    """``pieces`` (piece, text) against the corpus: CHECKED, a row for each piece. A candidate goes to the alignment only
-    if enough of the piece's words occur in its window at all, which bounds the words that can match.
+def verbatim(asked: DataFrame, corpus: Corpus) -> DataFrame:
+    """(piece, share, layer, axis, a): the pieces that stand in the first layer as they are, aligned at the first such place.
+
+    No place has more votes than one where all pairs of a piece stand, and none aligns better, so these pieces need no other
+    candidates. Such a place has the piece's rarest pair too: only the places of that one are looked at, once for all pieces
+    with the same words, however often the other pairs occur."""
+    first = min(corpus.layers)
+    long_ = asked.where((F.col("layer") == first) & (F.col("n") >= C.MIN_WORDS)).select("piece", "q", F.array_join("q", " ").alias("said"))
+    texts = held(long_.groupBy("said").agg(F.first("q").alias("q")).withColumn("n", F.size("q")), "texts")
+    pairs = corpus.pairs.where(F.col("layer") == first)
+    each = texts.select("said", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.struct((i - 1).alias("i"), F.get("q", i - 1).alias("w1"), F.get("q", i).alias("w2")))).alias("b")).select("said", "n", "b.*")
+    often = pairs.groupBy("w1", "w2").agg(F.count("*").alias("df"))
+    rarest = each.join(often, ["w1", "w2"]).groupBy("said", "n").agg(F.min(F.struct("df", "i", "w1", "w2")).alias("r"), F.count("*").alias("met")).where(F.col("met") == F.col("n") - 1)
+    places = rarest.select("said", "r.i", "r.w1", "r.w2").join(pairs, ["w1", "w2"]).select(F.col("said").alias("piece"), "layer", "axis", (F.col("pos") - F.col("i")).alias("start")).where("start >= 0")
+    placed = windows(places.withColumn("votes", F.lit(0)).withColumn("rank", F.lit(1)), texts.select(F.col("said").alias("piece"), F.lit(first).alias("layer"), "q", "n"), corpus)
+    here = F.transform(F.filter("window", lambda e: (e["pos"] >= F.col("start")) & (e["pos"] < F.col("start") + F.col("n"))), lambda e: e["word"])
+    order = Window.partitionBy("piece").orderBy("axis", "start")
+    found = placed.where(here == F.col("q")).withColumn("place", F.row_number().over(order)).where("place = 1")
+    aligned = held(found.select(F.col("piece").alias("said"), "layer", "axis", align_words("q", "window").alias("a")), "verbatim")
+    return long_.select("piece", "said").join(aligned, "said").select("piece", F.lit(1.0).alias("share"), "layer", "axis", "a").dropDuplicates(["piece"])
+
 
-    Places and windows take far more room than the pieces. So many pieces are checked in slices, one after the other, each of
-    which drops its shuffle files: the room needed at once is that of a slice."""
-    spark, slices = pieces.sparkSession, max(1, min(SLICES, -(-pieces.count() // SLICE)))
-    asked = held(query_words(pieces, corpus).withColumn("slice", F.pmod(F.xxhash64("piece"), F.lit(slices)).cast("int")), "asked", by="slice")
+def check(pieces: DataFrame, corpus: Corpus) -> DataFrame:
+    """``pieces`` (piece, text) against the corpus: CHECKED, a row for each piece. Pieces that stand there as they are come
+    first (``verbatim``); the others are voted for, and their candidates go to the alignment only if enough of the piece's
+    words occur in the window at all, which bounds the words that can match.
+
+    Candidates and windows take far more room than the pieces. So many pieces are checked in slices, one after the other, each
+    of which drops its shuffle files: the room needed at once is that of a slice."""
+    spark, asked = pieces.sparkSession, held(query_words(pieces, corpus), "asked")
+    whole = held(verbatim(asked, corpus), "whole")
+    told = _told(asked.join(whole.select("piece"), "piece", "left_semi"), whole, corpus)
+    rest = asked.join(whole.select("piece"), "piece", "left_anti")
+    with shuffles_dropped(spark):
+        many = rest.where(F.col("n") >= C.MIN_WORDS).select("piece").distinct().count()
+    if not many:
+        return told.unionByName(_told(rest, whole.limit(0), corpus))
+    slices = max(1, min(SLICES, -(-many // SLICE)))
+    rest = held(rest.withColumn("slice", F.pmod(F.xxhash64("piece"), F.lit(slices)).cast("int")), "rest", by="slice")
     if slices == 1:
-        return _check(asked.drop("slice"), corpus)
+        return told.unionByName(_told(rest.drop("slice"), _voted(rest.drop("slice"), corpus), corpus))
     path = work_table(spark, "checked")
     for k in range(slices):
         with shuffles_dropped(spark):
-            checked = _check(asked.where(F.col("slice") == k).drop("slice"), corpus)
+            part = rest.where(F.col("slice") == k).drop("slice")
+            checked = _told(part, _voted(part, corpus), corpus)
             checked.write.mode("append").parquet(path)
-    return spark.read.schema(checked.schema).parquet(path)
+    return told.unionByName(spark.read.schema(checked.schema).parquet(path))
 
 
-def _check(asked: DataFrame, corpus: Corpus) -> DataFrame:
-    first = min(corpus.layers)
-    short = asked.where(F.col("layer") == first).select("piece", (F.col("n") < C.MIN_WORDS).alias("short"))
+def _voted(asked: DataFrame, corpus: Corpus) -> DataFrame:
+    """(piece, share, layer, axis, a): the best alignment of each piece at the places voted for."""
     long_ = asked.where(F.col("n") >= C.MIN_WORDS)
     placed = windows(candidate_starts(long_, corpus), long_, corpus)
     likely = placed.where(F.size(F.filter("q", lambda w: F.exists("window", lambda e: e["word"] == w))) >= C.MIN_RATIO * F.col("n"))
     aligned = likely.withColumn("a", align_words("q", "window")).withColumn("share", F.col("a.matched") / F.col("n"))
     best = Window.partitionBy("piece").orderBy(F.desc("share"), "layer", "rank")
     chosen = aligned.withColumn("place", F.row_number().over(best)).where("place = 1")
-    joined = short.join(chosen.select("piece", "share", "layer", "axis", "a"), "piece", "left")
+    return chosen.select("piece", "share", "layer", "axis", "a")
+
+
+def _told(asked: DataFrame, chosen: DataFrame, corpus: Corpus) -> DataFrame:
+    short = asked.where(F.col("layer") == min(corpus.layers)).select("piece", (F.col("n") < C.MIN_WORDS).alias("short"))
+    joined = short.join(chosen, "piece", "left")
     good = F.coalesce(F.col("share") >= C.MIN_RATIO, F.lit(False))
     status = F.when(F.col("short"), "too_short").when(~good, "not_found").when(F.size("a.differences") > 0, "altered").otherwise("verified")
     kept = lambda c: F.when(good & ~F.col("short"), c)

@@ -143,3 +143,27 @@ def test_near_words_are_told_apart_by_letters(spark, monkeypatch):
         found = locate.near_words(rows(asked), rows(known))
         assert sorted(map(tuple, found.collect())) == sorted(expected)
         assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_verbatim_pieces_meet_their_rarest_pair_alone(spark, monkeypatch):
+    """Pieces that stand in the corpus get what the vote gives them, and none goes to the vote: frequent pairs bring no places."""
+    from quoteverify.operators import locate
+    from quoteverify.operators.index import Corpus
+
+    verses = [(0, c, v, "of the sea of the w of the of the w x") for c in range(1, 13) for v in range(1, 4)] + [(1, 1, 1, "of the moon and stars")]
+    corpus = Corpus.build(spark.createDataFrame(verses, "layer int, chapter int, verse int, text string"), "latin", layers={0: False, 1: False}, axis=F.col("chapter"))
+    pieces = {"a": "of the w of the", "b": "of the of the", "c": "the w x of the sea", "d": "of the", "f": "of the of the", "g": "THE sea, of the!"}
+    for k in range(1, 4):
+        pieces[f"h{k}"] = "the sea of the"
+    whole = lambda rows: {r["piece"]: r for r in rows.collect()}
+    frame = lambda texts: spark.createDataFrame(list(texts.items()), "piece string, text string")
+    others = {"e": "of the moon and stars", "i": "sea of a w of", "j": "nothing like it here", "k": None, "l": "the sea of sea the of"}
+    with monkeypatch.context() as plain:
+        plain.setattr(locate, "verbatim", lambda asked, corpus: asked.limit(0).selectExpr("piece", "1.0D AS share", "layer", "'' AS axis", f"CAST(null AS {locate.ALIGNED}) AS a"))
+        expected = whole(locate.check(frame(pieces | others), corpus))
+    assert expected["a"]["status"] == expected["f"]["status"] == "verified" and expected["i"]["status"] == "altered"
+    assert whole(locate.check(frame(pieces | others), corpus)) == expected and len(expected) == len(pieces | others)
+    voted = []
+    monkeypatch.setattr(locate, "candidate_starts", lambda *a: voted.append(a))
+    assert whole(locate.check(frame(pieces), corpus)) == {k: expected[k] for k in pieces}
+    assert not voted
