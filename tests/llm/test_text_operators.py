@@ -430,6 +430,21 @@ def test_the_wavelet_tree_takes_about_the_entropy():
     assert tree.rank(asked, at).tolist() == [int((symbols[:a] == c).sum()) for a, c in zip(at, asked)]
 
 
+def test_windows_are_routed_by_few_even_keys():
+    """Equal windows ask with equal keys, wherever they stand; a block asks far fewer keys than it has windows, and the keys
+    are spread evenly over their ranges."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (4000, 20, 3000, 5, 4000)]
+    texts[2] = " ".join(texts[0].split()[100:400]) + " " + texts[2]
+    w = substring.Windows(np.arange(5), pa.array(texts, pa.large_string()), 13)
+    keys, place, several = w.distinct(40)
+    assert len(place) == len(w.at) and 3 * len(keys) < len(w.at) and np.all(keys[1:] > keys[:-1])
+    first, again = w.row == 0, w.row == 2
+    assert np.array_equal(place[first][100:388], place[again][:288]) and np.all(several[place[again][:288]] == 2)
+    assert np.mean(several[place[w.row == 4]] == 1) > 0.99
+    assert np.bincount((keys >> np.uint64(37)).astype(int), minlength=8).max() < 1.3 * len(keys) / 8
+
+
 def test_removal_comes_from_the_index_alone(monkeypatch):
     """What the index doesn't find stays, copies of a whole segment included."""
     words = np.arange(20, dtype="<u8").tobytes()
