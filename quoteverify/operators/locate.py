@@ -20,6 +20,10 @@ from quoteverify.session import held, shuffles_dropped, work_table
 
 DIFFERENCE = "struct<kind:string,written:string,correct:string,chapter:int,verse:int>"
 ALIGNED = f"struct<matched:int,longest:int,chapter:int,verse_from:int,verse_to:int,differences:array<{DIFFERENCE}>>"
+#: Words of a corpus, all layers together, that may go to all tasks.
+CARRIED = 200_000
+#: Places for the words of windows that are marked at once.
+MARKS = 1 << 24
 #: Pieces of a slice, as long as there are no more slices than the second.
 SLICE, SLICES = 50_000, 32
 CHECKED = f"piece string, status string, match_ratio double, longest_run int, layer int, axis string, chapter int, verse_from int, verse_to int, differences array<{DIFFERENCE}>"
@@ -142,9 +146,15 @@ def check(pieces: DataFrame, corpus: Corpus) -> DataFrame:
     first (``verbatim``); the others are voted for, and their candidates go to the alignment only if enough of the piece's
     words occur in the window at all, which bounds the words that can match.
 
-    Candidates and windows take far more room than the pieces. So many pieces are checked in slices, one after the other, each
+    A corpus of at most ``CARRIED`` words goes to all tasks, which do all of this where the pieces are (``Carried``): nothing
+    is shuffled. With larger ones, candidates and windows take far more room than the pieces. So many pieces are checked in slices, one after the other, each
     of which drops its shuffle files: the room needed at once is that of a slice."""
-    spark, asked = pieces.sparkSession, held(query_words(pieces, corpus), "asked")
+    spark = pieces.sparkSession
+    with shuffles_dropped(spark):
+        size = corpus.chunks.agg(F.sum(F.size("entries"))).head()[0] or 0
+    if size <= CARRIED:
+        return _carried(pieces, corpus)
+    asked = held(query_words(pieces, corpus), "asked")
     whole = held(verbatim(asked, corpus), "whole")
     told = _told(asked.join(whole.select("piece"), "piece", "left_semi"), whole, corpus)
     rest = asked.join(whole.select("piece"), "piece", "left_anti")
@@ -165,6 +175,136 @@ def check(pieces: DataFrame, corpus: Corpus) -> DataFrame:
     return told.unionByName(spark.read.schema(checked.schema).parquet(path))
 
 
+class Carried:
+    """A layer of a corpus as arrays: what ``candidate_starts``, ``windows`` and the choice of the best alignment do, for many
+    pieces at once. ``entries``: axis, pos, word, display, chapter, verse, sorted by all of them; ``pairs``: axis, pos, w1, w2."""
+
+    def __init__(self, entries: pa.Table, pairs: pa.Table):
+        axis, word = entries["axis"].combine_chunks(), entries["word"].combine_chunks()
+        self.axes, self.vocabulary = pc.unique(axis), pc.unique(word)
+        self.word, self.pos = self.ids(word), entries["pos"].to_numpy()
+        self.places = self._place(axis, self.pos)
+        self.twice = bool(np.any(self.places[1:] == self.places[:-1]))  # passages of one number share positions
+        self.rows = entries.drop_columns(["axis"]).to_pylist()
+        key = self.ids(pairs["w1"].combine_chunks()) * len(self.vocabulary) + self.ids(pairs["w2"].combine_chunks())
+        self.pairs = self._posted(key, self._place(pairs["axis"].combine_chunks(), pairs["pos"].to_numpy()))
+        often = np.bincount(self.word, minlength=len(self.vocabulary))
+        rare = often[self.word] <= C.FALLBACK_DF
+        self.rare = self._posted(self.word[rare], self.places[rare])
+
+    def ids(self, words: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _place(self, axis: pa.Array, pos: np.ndarray) -> np.ndarray:
+        """Axis and position as one number; what is added to it or taken off stays within the axis's numbers."""
+        return (pc.index_in(axis, value_set=self.axes).to_numpy(zero_copy_only=False).astype(np.int64) << 32) + (1 << 31) + pos
+
+    @staticmethod
+    def _posted(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        keys, begin = np.unique(key[order], return_index=True)
+        return keys, np.append(begin, len(order)), place[order]
+
+    @staticmethod
+    def _met(posted, key: np.ndarray, piece: np.ndarray, i: np.ndarray, weight: int) -> tuple[np.ndarray, ...]:
+        """(piece, start, votes, first) of the places where a piece's keys would have it start."""
+        keys, begin, place = posted
+        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        some = np.flatnonzero(keys[at] == key) if len(keys) else np.zeros(0, np.int64)
+        at = at[some]
+        many = begin[at + 1] - begin[at]
+        piece, i = np.repeat(piece[some], many), np.repeat(i[some], many)
+        start = place[ranges(begin[at], many)] - i
+        order = np.lexsort((i, start, piece))
+        piece, start, i = piece[order], start[order], i[order]
+        new = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (start[1:] != start[:-1])])) if len(piece) else np.zeros(0, np.int64)
+        return piece[new], start[new], weight * np.diff(np.append(new, len(piece))), i[new]
+
+    def likely(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(piece, begin, end, hits) of the candidates worth aligning, by piece and rank: the window's rows, and how many of
+        the piece's words occur there. ``ids``: words of all pieces, ``bounds``: where each piece's begin."""
+        n = np.diff(bounds)
+        of = np.repeat(np.arange(len(n)), n)
+        i = np.arange(len(ids)) - bounds[of]
+        # words that the corpus does not have are in no window
+        open_ = (n >= C.MIN_WORDS) & (np.bincount(of[ids >= 0], minlength=len(n)) >= C.MIN_RATIO * n)
+        known = (ids >= 0) & open_[of]
+        two = np.flatnonzero(known[:-1] & known[1:] & (of[:-1] == of[1:]))
+        by_pairs = self._met(self.pairs, ids[two] * len(self.vocabulary) + ids[two + 1], of[two], i[two], 2)
+        open_[by_pairs[0]] = False
+        single = np.flatnonzero(known & open_[of])
+        by_words = self._met(self.rare, ids[single], of[single], i[single], 1)
+        piece, start, votes, first = (np.concatenate(x) for x in zip(by_pairs, by_words))
+        order = np.lexsort((start, first, -votes, piece))
+        piece, start, votes = piece[order], start[order], votes[order]
+        rank = np.arange(len(piece)) - np.searchsorted(piece, piece)
+        top = rank < C.TOP_STARTS
+        # no other place aligns better than a first one where all pairs stand
+        top &= (rank == 0) | self.twice | (votes[np.searchsorted(piece, piece)] < 2 * (n[piece] - 1))
+        piece, start = piece[top], start[top]
+        zero = (start >> 32 << 32) + (1 << 31)  # the axis's first position
+        begin = np.searchsorted(self.places, np.maximum(start - C.SLACK, zero))
+        end = np.maximum(begin, np.searchsorted(self.places, start + n[piece] + C.SLACK))
+        hits, size = np.zeros(len(piece), np.int64), len(self.vocabulary)
+        step = max(1, MARKS // max(1, size))
+        marked = np.zeros(min(step, len(piece)) * size, bool)
+        for at in range(0, len(piece), step):
+            p, a, b = piece[at : at + step], begin[at : at + step], end[at : at + step]
+            inside = np.repeat(np.arange(len(p)), b - a) * size + self.word[ranges(a, b - a)]
+            marked[inside] = True
+            row, word = np.repeat(np.arange(len(p)), n[p]), ids[ranges(bounds[p], n[p])]
+            hits[at : at + step] = np.bincount(row[(word >= 0) & marked[row * size + np.maximum(word, 0)]], minlength=len(p))
+            marked[inside] = False
+        good = hits >= C.MIN_RATIO * n[piece]
+        return piece[good], begin[good], end[good], hits[good]
+
+
+def _carried(pieces: DataFrame, corpus: Corpus) -> DataFrame:
+    """``check`` with the corpus in every task."""
+    columns = ["pos", "word", "display", "chapter", "verse"]
+    entries = corpus.chunks.select("layer", "axis", F.explode("entries").alias("e")).select("layer", "axis", *(f"e.{c}" for c in columns)).toArrow().sort_by([(c, "ascending") for c in ("layer", "axis", *columns)])
+    carried = pieces.sparkSession.sparkContext.broadcast((entries, corpus.pairs.select("layer", "axis", "pos", "w1", "w2").toArrow()))
+    layers = sorted(corpus.layers)
+    said = [F.array_join(words(normalize(F.coalesce(F.col("text"), F.lit("")), corpus.profile, corpus.layers[layer])), " ").alias(f"said{layer}") for layer in layers]
+    kind = f"piece {pieces.schema['piece'].dataType.simpleString()}, short boolean, share double, layer int, axis string, a {ALIGNED}"
+
+    def run(batches):
+        tables = carried.value
+        indexes = [Carried(*(t.filter(pc.equal(t["layer"], layer)).drop_columns(["layer"]) for t in tables)) for layer in layers]
+        kept: dict = {}
+        for batch in batches:
+            best: dict[int, tuple] = {}
+            for layer, index in zip(layers, indexes):
+                text = batch.column(f"said{layer}")
+                each = pc.split_pattern(text, " ")
+                flat, sizes = each.flatten(), pc.list_value_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = np.where(pc.equal(text, "").to_numpy(zero_copy_only=False), 0, sizes)
+                flat = flat.filter(pc.not_equal(flat, ""))
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                if layer == layers[0]:
+                    short = sizes < C.MIN_WORDS
+                for p, begin, end, hits in zip(*(x.tolist() for x in index.likely(index.ids(flat), bounds))):
+                    n = int(sizes[p])
+                    if p in best and hits / n <= best[p][0]:
+                        continue  # no more words than these can match
+                    key = (layer, begin, end, text[p].as_py())
+                    if key not in kept:
+                        if len(kept) > 20_000:
+                            kept.clear()
+                        kept[key] = compare(key[3].split(" "), index.rows[begin:end]) or {"matched": 0}
+                    a = kept[key]
+                    if p not in best or a["matched"] / n > best[p][0]:
+                        best[p] = (a["matched"] / n, layer, index.axes[int(index.places[begin] >> 32)].as_py(), a)
+            rows = [best.get(p, (None, None, None, None)) for p in range(batch.num_rows)]
+            share, layer, axis, a = zip(*rows) if rows else ((), (), (), ())
+            a = [x if y is not None and y >= C.MIN_RATIO else None for x, y in zip(a, share)]
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(short), pa.array(share, pa.float64()), pa.array(layer, pa.int32()), pa.array(axis, pa.string()), pa.array(a, aligned)], ["piece", "short", "share", "layer", "axis", "a"])
+
+    difference = pa.struct([("kind", pa.string()), ("written", pa.string()), ("correct", pa.string()), ("chapter", pa.int32()), ("verse", pa.int32())])
+    aligned = pa.struct([*((c, pa.int32()) for c in ("matched", "longest", "chapter", "verse_from", "verse_to")), ("differences", pa.list_(difference))])
+    return _stated(pieces.select("piece", *said).mapInArrow(run, kind))
+
+
 def _voted(asked: DataFrame, corpus: Corpus) -> DataFrame:
     """(piece, share, layer, axis, a): the best alignment of each piece at the places voted for."""
     long_ = asked.where(F.col("n") >= C.MIN_WORDS)
@@ -178,7 +318,11 @@ def _voted(asked: DataFrame, corpus: Corpus) -> DataFrame:
 
 def _told(asked: DataFrame, chosen: DataFrame, corpus: Corpus) -> DataFrame:
     short = asked.where(F.col("layer") == min(corpus.layers)).select("piece", (F.col("n") < C.MIN_WORDS).alias("short"))
-    joined = short.join(chosen, "piece", "left")
+    return _stated(short.join(chosen, "piece", "left"))
+
+
+def _stated(joined: DataFrame) -> DataFrame:
+    """CHECKED of (piece, short, share, layer, axis, a)."""
     good = F.coalesce(F.col("share") >= C.MIN_RATIO, F.lit(False))
     status = F.when(F.col("short"), "too_short").when(~good, "not_found").when(F.size("a.differences") > 0, "altered").otherwise("verified")
     kept = lambda c: F.when(good & ~F.col("short"), c)

@@ -88,6 +88,44 @@ def test_pieces_checked_in_slices(spark, monkeypatch):
     assert {r["piece"]: r for r in sliced.collect()} == whole and len(whole) == 6
 
 
+def test_a_carried_corpus_gives_what_shuffles_give(spark, monkeypatch):
+    """A small corpus is searched where the pieces are, without a shuffle, and says the same as the joins."""
+    import random
+
+    from quoteverify.operators import locate
+    from quoteverify.operators.index import Corpus
+
+    rng = random.Random(5)
+    some = lambda n, of: " ".join(f"w{'abcdefghijklmnopqrstuvwxyzäöüß'[min(rng.randrange(of), rng.randrange(of))]}" for _ in range(n))
+    verses = [(layer, c, v, some(rng.randrange(1, 30), 26)) for layer in (0, 1) for c in range(1, 12) for v in range(1, 5)]
+    verses += [(0, 20, 1, "lone rare words here"), (1, 20, 1, "lone rare, words there")]
+    pieces = [(f"p{k}", some(rng.randrange(0, 14), 30)) for k in range(300)]
+    for k in range(300):
+        w = rng.choice(verses)[3].split() + rng.choice(verses)[3].split()
+        at = rng.randrange(len(w))
+        w = w[at : at + rng.randrange(2, 16)]
+        if k % 3:
+            w[rng.randrange(len(w))] = rng.choice(["wa", "we", "wzq", ""])
+        pieces.append((f"q{k}", " ".join(w)))
+    pieces += [("r0", None), ("r1", ""), ("r2", " . "), ("r3", "rare lone here words"), ("r4", "zz rare yy lone"), ("r5", "WA, wa wa!"), ("r6", "wé wé wé")]
+    frame = spark.createDataFrame(pieces, "piece string, text string")
+    rows = spark.createDataFrame(verses, "layer int, chapter int, verse int, text string")
+    for axis in (F.col("chapter"), None):
+        corpus = Corpus.build(rows, "latin", layers={0: False, 1: False}, axis=axis)
+        carried = locate.check(frame, corpus)
+        assert "Exchange" not in carried._jdf.queryExecution().executedPlan().toString()
+        got = {r["piece"]: r for r in carried.collect()}
+        with monkeypatch.context() as small:
+            small.setattr(locate, "CARRIED", 0)
+            expected = {r["piece"]: r for r in locate.check(frame, corpus).collect()}
+        assert got == expected and len(got) == len(pieces)
+        assert {"verified", "altered", "not_found", "too_short"} == {r["status"] for r in got.values()}
+        with monkeypatch.context() as few:
+            few.setattr(locate, "MARKS", 64)
+            assert {r["piece"]: r for r in locate.check(frame, corpus).collect()} == expected
+        assert carried.schema == locate.check(frame.limit(0), corpus).schema and locate.check(frame.limit(0), corpus).count() == 0
+
+
 def test_a_fragment_on_several_rows_is_one_fragment(spark):
     from quoteverify.operators import locate
     from quoteverify.operators.index import Corpus
